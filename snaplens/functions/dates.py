@@ -50,3 +50,16 @@ def period_end(start: Column, period: str) -> Column:
 
 def period_step(period: str) -> Column:
     return F.expr(PERIODS[_check(period)][2])
+
+
+def epoch_seconds(ts: Column) -> Column:
+    """Seconds since 1970 as written on the clock, whatever the session time zone."""
+    clock = F.hour(ts) * 3600 + F.minute(ts) * 60
+    return (F.unix_date(ts.cast("date")).cast("bigint") * 86400 + clock + F.extract(F.lit("SECOND"), ts)).cast("double")
+
+
+def from_epoch_seconds(seconds: Column) -> Column:
+    zero = F.lit(0)
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+        zero, zero, zero, seconds.cast("decimal(18,6)")
+    )

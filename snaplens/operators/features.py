@@ -22,6 +22,7 @@ from snaplens.operators import skew
 from snaplens.operators.quantiles import column_quantiles
 from snaplens.operators.semantics import Semantic
 from snaplens.roles import Roles, col, find_column
+from snaplens.session import stabilise
 
 PREVIOUS = "__previous"
 
@@ -247,7 +248,8 @@ def _owner_activity(df: DataFrame, r: Roles) -> DataFrame:
         .groupBy(col(r.owner))
         .agg(F.avg("__entities").alias("__mean"))
     )
-    if monthly.limit(3).count() < 3:
+    monthly = stabilise(monthly)  # one row per owner, read several times below
+    if monthly.count() < 3:
         return df.withColumn("user_activity_rating", F.lit("Unknown"))
     low, high = column_quantiles(monthly, ["__mean"], [0.33, 0.67])["__mean"]
     mean = F.col("__mean")

@@ -13,7 +13,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,35 +26,18 @@ GRID = 100
 ACCURACY = 10_000
 
 
-def group_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    hot: Sequence[int] | None = None,
-) -> DataFrame:
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Columns ``keys`` and ``q``, an array with one double per entry of ``probs``.
 
     Key columns must not be null; groups without a value are absent.
     """
-    keys = list(keys)
-    data = df.select(*map(col, keys), col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    if hot is None:
-        hot = skew.hot_keys(data, keys)[0]
-    exact = F.percentile("v", F.array(*[F.lit(float(p)) for p in probs]))
-    if not hot:
-        return data.groupBy(*map(col, keys)).agg(exact.alias("q"))
-    inside = skew.is_hot(keys, hot)
-    small = data.filter(~inside).groupBy(*map(col, keys)).agg(exact.alias("q"))
-    return small.unionByName(_narrow(data.filter(inside), keys, list(probs)))
+    return long_quantiles(df, [value], probs, keys).select(*map(col, keys), "q")
 
 
 def column_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float]
 ) -> dict[str, list[float | None]]:
     """Quantiles of whole columns; at most one row per column reaches the driver."""
-    if not columns:
-        return {}
     found = {r["column"]: list(r["q"]) for r in long_quantiles(df, columns, probs).collect()}
     return {c: found.get(c, [None] * len(probs)) for c in columns}
 
@@ -62,12 +45,44 @@ def column_quantiles(
 def long_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """``group_quantiles`` of several columns at once, keyed by ``keys`` and ``column``."""
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("v")) for c in columns]
-    )
-    rows = df.select(*map(col, keys), F.inline(pairs))
-    return group_quantiles(rows, [*keys, "column"], "v", probs)
+    """Rows ``keys``, ``column``, ``q``: the quantiles of several columns, per group if keyed.
+
+    One pass finds what is too large for ``percentile``: columns when there are no
+    keys, else groups.
+    """
+    keys, by = list(keys), [col(k) for k in keys]
+    data = df.select(*by, *[_number(c).alias(f"__v{i}") for i, c in enumerate(columns)])
+    values = [f"__v{i}" for i in range(len(columns))]
+    large = dict.fromkeys(values, False)
+    cold = warm = data
+    if keys:
+        hot = skew.hot_keys(data, keys)[0]
+        if hot:
+            cold, warm = data.filter(~skew.is_hot(keys, hot)), data.filter(skew.is_hot(keys, hot))
+            large = dict.fromkeys(values, True)
+        small = values
+    else:
+        counts = data.agg(*[F.count(v).alias(v) for v in values]).first()
+        large = {v: counts[v] > skew.HOT_ROWS for v in values}
+        small = [v for v in values if not large[v]]
+
+    def long(rows: DataFrame, picked: Sequence[str], name: str) -> DataFrame:
+        cells = [F.struct(F.lit(columns[int(v[3:])]).alias("column"), F.col(v).alias(name)) for v in picked]
+        return rows.select(*by, F.inline(F.array(*cells))).filter(F.col(name).isNotNull())
+
+    parts = []
+    if small:
+        points = F.array(*[F.lit(float(p)) for p in probs])
+        exact = cold.groupBy(*by).agg(*[F.percentile(v, points).alias(v) for v in small])
+        parts.append(long(exact, small, "q"))
+    if any(large.values()):
+        parts.append(_narrow(long(warm, [v for v in values if large[v]], "v"), [*keys, "column"], list(probs)))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _number(name: str) -> Column:
+    value = col(name).cast("double")
+    return F.when(~F.isnan(value), value)
 
 
 @dataclass

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from enum import Enum
 
@@ -44,13 +45,33 @@ _DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 _LONGEST_DATE = 40
 
 
+def _shape(date_format: str) -> str:
+    """Regular expression of the texts a date format can match at all."""
+    runs = re.findall(r"([A-Za-z])(\1*)|([^A-Za-z])", date_format)
+    parts = []
+    for letter, rest, other in runs:
+        width = 1 + len(rest)
+        if other:
+            parts.append(re.escape(other))
+        elif letter == "M" and width > 2:
+            parts.append("[A-Za-z]+")
+        else:
+            parts.append(r"\d{1,2}" if width == 1 else r"\d{%d}" % width)
+    return "^" + "".join(parts) + "$"
+
+
 def parse_date(value: Column, formats: Sequence[str] = DATE_FORMATS, iso: bool = True) -> Column:
-    """First format that fits, else null; ``iso`` also takes what a plain cast accepts."""
+    """First format that fits, else null; ``iso`` also takes what a plain cast accepts.
+
+    A failed parse is costly, so texts of the wrong length or shape skip it.
+    """
     text = F.trim(value)
-    tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    tries = [
+        F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz"))
+        for f in formats
+    ]
     if iso:
         tries.insert(0, text.try_cast("timestamp_ntz"))
-    # No date is this long; the guard spares long texts the parsing.
     return F.when(F.length(text) <= _LONGEST_DATE, F.coalesce(*tries))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snaplens.functions.dates import PERIODS, period_end, period_step
+from snaplens.functions.dates import PERIODS, epoch_seconds, from_epoch_seconds, period_end, period_step
 from snaplens.functions.numbers import correlation
 from snaplens.operators.filters import clip_upper
 from snaplens.operators.profile import GROUP, column_stats
@@ -101,7 +101,7 @@ def descriptive_statistics(
         "data_type": [F.col("type"), F.col("position")],
         "count_descending": [F.col("count").desc(), F.col("position")],
         "missing_ascending": [F.col("missing"), F.col("position")],
-    }.get(sort_by, [F.col("position")])
+    }.get(sort_by, [*lead, F.col("position")])
     return stats.orderBy(*order, *lead).select(
         *lead, "column", "type", "count", "non_null", "missing", "missing_pct",
         "mean", "median", "std", "min", "max", "skew", "kurt",
@@ -120,7 +120,7 @@ def histogram(
     """Counts per equal-width bin, empty bins left out; groups share the bin edges.
 
     The last bin is closed. With ``upper_limit`` larger values count as the limit
-    and ``above_limit`` says how many a bin took in that way. Dates bin by microsecond.
+    and ``above_limit`` says how many a bin took in that way. Dates bin by elapsed seconds.
     """
     _need(df, x=x)
     rows, keys = _keep_group(latest_snapshot(df, roles), group_by)
@@ -133,7 +133,7 @@ def histogram(
     if numeric:
         value = col(x).cast("double")
     else:
-        value = F.unix_micros(col(x).cast("timestamp_ntz").cast("timestamp")).cast("double")
+        value = epoch_seconds(col(x).cast("timestamp_ntz"))
     rows = rows.select(*keys, value.alias("v"), "above_limit")
 
     ends = rows.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
@@ -148,7 +148,7 @@ def histogram(
     low = F.col("a") + (F.col("bin") - 1) * F.col("w")
     high = F.col("a") + F.col("bin") * F.col("w")
     if not numeric:
-        low, high = (F.timestamp_micros(e.cast("bigint")).cast("timestamp_ntz") for e in (low, high))
+        low, high = from_epoch_seconds(low), from_epoch_seconds(high)
     return counted.select(*keys, "bin", low.alias("lo"), high.alias("hi"), "count", "above_limit").orderBy(*keys, "bin")
 
 
