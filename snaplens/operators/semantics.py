@@ -43,6 +43,7 @@ FILL = {Semantic.CATEGORICAL: "Unknown", Semantic.TEXT: ""}
 
 _DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 _LONGEST_DATE = 40
+_NUMBER_START = r"^[+-]?(\.?\d|[Ii]nf)"
 
 
 def _shape(date_format: str) -> str:
@@ -76,7 +77,9 @@ def parse_date(value: Column, formats: Sequence[str] = DATE_FORMATS, iso: bool =
 
 
 def parse_number(value: Column) -> Column:
-    number = F.trim(value).try_cast("double")
+    text = F.trim(value)
+    # A failed cast is costly; texts that cannot start a number skip it.
+    number = F.when(text.rlike(_NUMBER_START), text.try_cast("double"))
     return F.when(~F.isnan(number), number)
 
 

@@ -33,6 +33,7 @@ def local_session(cpus: int | str = "*", name: str = "snaplens", **extra: str) -
         .config("spark.sql.shuffle.partitions", parts)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in {**SETTINGS, **extra}.items():
