@@ -195,10 +195,10 @@ def _(spark, folder):
 
 @query(
     "rpt_line",
-    f"SELECT o_orderdate, round(avg(o_totalprice), 6) AS value FROM ({LATEST_ORDERS}) GROUP BY 1",
+    f"SELECT l_shipdate, round(avg(l_quantity), 6) AS value FROM ({LATEST_LINES}) GROUP BY 1",
 )
 def _(spark, folder):
-    return tidy(line_chart(order_snapshots(spark, folder), ORDERS_ROLES, "o_orderdate", "o_totalprice"))
+    return tidy(line_chart(table(spark, folder, "lineitem"), LINE_ROLES, "l_shipdate", "l_quantity"))
 
 
 @query(

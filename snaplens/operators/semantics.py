@@ -42,7 +42,7 @@ BOOLEAN_WORDS = {"True": True, "TRUE": True, "true": True, "False": False, "FALS
 FILL = {Semantic.CATEGORICAL: "Unknown", Semantic.TEXT: ""}
 
 _DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
-_LONGEST_DATE = 40
+_SHORTEST_DATE, _LONGEST_DATE = 8, 40
 _NUMBER_START = r"^[+-]?(\.?\d|[Ii]nf)"
 
 
@@ -64,16 +64,19 @@ def _shape(date_format: str) -> str:
 def parse_date(value: Column, formats: Sequence[str] = DATE_FORMATS, iso: bool = True) -> Column:
     """First format that fits, else null; ``iso`` also takes what a plain cast accepts.
 
-    A failed parse is costly, so texts of the wrong length or shape skip it.
+    A failed parse is costly, so only texts shaped like one of the formats are parsed.
     """
     text = F.trim(value)
-    tries = [
-        F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz"))
-        for f in formats
+    shapes = [_shape(f) for f in formats]
+    parsed = [
+        F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz"))
+        for f, shape in zip(formats, shapes)
     ]
+    likely = F.length(text).between(_SHORTEST_DATE, _LONGEST_DATE) & text.rlike("|".join(shapes))
+    date = F.when(likely, F.coalesce(*parsed))
     if iso:
-        tries.insert(0, text.try_cast("timestamp_ntz"))
-    return F.when(F.length(text) <= _LONGEST_DATE, F.coalesce(*tries))
+        date = F.coalesce(F.when(F.length(text) <= _LONGEST_DATE, text.try_cast("timestamp_ntz")), date)
+    return date
 
 
 def parse_number(value: Column) -> Column:
@@ -98,51 +101,67 @@ def blank_nan(df: DataFrame) -> DataFrame:
 def detect_types(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, Semantic]:
     """Semantic type per column, from names, physical types and values.
 
-    One pass with an approximate distinct count; a second pass counts exactly the
-    columns whose type hangs on it. One row of counts reaches the driver each time.
+    Values are only looked at where the name does not settle the type. Texts are
+    tested in long form, so that the tests compile once and not once per column.
+    Distinct counts are approximate first; a last pass counts exactly the columns
+    whose type hangs on it. One row of counts per column reaches the driver.
     """
     columns = list(df.columns if columns is None else columns)
     if not columns:
         return {}
     kind = {f.name: f.dataType for f in df.schema}
-    aggs = []
-    for i, c in enumerate(columns):
-        aggs.append(F.count(col(c)).alias(f"n{i}"))
-        if isinstance(kind[c], T.StringType):
-            aggs += [
-                F.count(parse_number(col(c))).alias(f"number{i}"),
-                F.count_if(col(c).isin(*BOOLEAN_WORDS)).alias(f"bool{i}"),
-                F.count(parse_date(col(c))).alias(f"date{i}"),
-            ]
-        if isinstance(kind[c], T.StringType) or is_number(kind[c]):
-            aggs.append(F.approx_count_distinct(col(c)).alias(f"distinct{i}"))
-    seen = df.agg(*aggs).first().asDict()
-
-    close = 2 * STRING_CATEGORY_LIMIT
-    unsure = [i for i in range(len(columns)) if 0 < seen.get(f"distinct{i}", 0) <= close]
-    if unsure:
-        exact = df.agg(*[F.count_distinct(col(columns[i])).alias(f"distinct{i}") for i in unsure])
-        seen.update(exact.first().asDict())
+    open_ = [c for c in columns if _by_name(c) is None]
+    texts = [c for c in open_ if isinstance(kind[c], T.StringType)]
+    numbers = [c for c in open_ if is_number(kind[c])]
+
+    aggs = [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]
+    aggs += [F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(columns) if c in numbers]
+    row = df.agg(*aggs).first().asDict()
+    seen = {c: {"n": row[f"n{i}"], "distinct": row.get(f"d{i}", 0)} for i, c in enumerate(columns)}
+
+    if texts:
+        pairs = [F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in texts]
+        value = F.col("value")
+        tested = (
+            df.select(F.inline(F.array(*pairs)))
+            .filter(value.isNotNull())
+            .groupBy("column")
+            .agg(
+                F.count(parse_number(value)).alias("number"),
+                F.count_if(value.isin(*BOOLEAN_WORDS)).alias("bool"),
+                F.count(parse_date(value)).alias("date"),
+                F.approx_count_distinct(value).alias("distinct"),
+            )
+        )
+        for r in tested.collect():
+            seen[r["column"]].update(r.asDict())
 
-    return {c: _rule(c, kind[c], {k: seen.get(f"{k}{i}") for k in _COUNTS}) for i, c in enumerate(columns)}
+    unsure = [c for c in texts + numbers if 0 < seen[c]["distinct"] <= 2 * STRING_CATEGORY_LIMIT]
+    if unsure:
+        exact = df.agg(*[F.count_distinct(col(c)) for c in unsure]).first()
+        for c, distinct in zip(unsure, exact):
+            seen[c]["distinct"] = distinct
+    return {c: _rule(c, kind[c], seen[c]) for c in columns}
 
 
-_COUNTS = ("n", "number", "bool", "date", "distinct")
+def _by_name(name: str) -> Semantic | None:
+    lower = name.lower()
+    if "date" in lower or "time" in lower:
+        return Semantic.DATE
+    return Semantic.CATEGORICAL if lower.endswith("id") else None
 
 
-def _rule(name: str, kind: T.DataType, seen: Mapping[str, int | None]) -> Semantic:
-    n, lower = seen["n"], name.lower()
+def _rule(name: str, kind: T.DataType, seen: Mapping[str, int]) -> Semantic:
+    n, by_name = seen["n"], _by_name(name)
     if n == 0:
         return Semantic.TEXT
-    if "date" in lower or "time" in lower:
-        return Semantic.DATE
-    if lower.endswith("id"):
-        return Semantic.CATEGORICAL
+    if by_name is not None:
+        return by_name
     if isinstance(kind, _DATES):
         return Semantic.DATE
-    if isinstance(kind, T.BooleanType) or seen["bool"] == n:
+    if isinstance(kind, T.BooleanType) or seen.get("bool") == n:
         return Semantic.BOOLEAN
-    if is_number(kind) or seen["number"] == n:
+    if is_number(kind) or seen.get("number") == n:
         few = seen["distinct"] / n < NUMERIC_CATEGORY_SHARE and seen["distinct"] < NUMERIC_CATEGORY_LIMIT
         return Semantic.CATEGORICAL if few else Semantic.NUMERICAL
     if isinstance(kind, T.StringType):
