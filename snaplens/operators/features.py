@@ -149,26 +149,25 @@ def _with_previous_by_hour(rows: DataFrame, r: Roles) -> DataFrame:
     """The previous row of every row of a hot id, ordering no more than one hour at a time.
 
     An id has at most as many hours as the calendar, so carrying the last row of
-    each hour forward is bounded whatever the number of rows.
+    each hour forward is bounded whatever the number of rows. Undated rows come last
+    and have no use for a previous row.
     """
     hour = F.struct(col(r.snapshot).cast("date").alias("day"), F.hour(col(r.snapshot)).alias("hour"))
-    rows = rows.withColumn("__hour", F.when(col(r.snapshot).isNotNull(), hour))
+    dated = rows.filter(col(r.snapshot).isNotNull()).withColumn("__hour", hour)
     latest = F.struct(col(r.snapshot), *r.order_columns())
-    tails = rows.groupBy(col(r.id), "__hour").agg(F.max_by(_state(r), latest).alias("__tail"))
-    per_id = Window.partitionBy(col(r.id)).orderBy(F.col("__hour").asc_nulls_last())
-    tails = tails.select(
-        col(r.id).alias("__id"),
-        F.col("__hour").alias("__in_hour"),
-        F.lag("__tail").over(per_id).alias("__carried"),
-    )
-    per_hour = Window.partitionBy(col(r.id), "__hour").orderBy(*_history(r))
-    rows = rows.withColumn(PREVIOUS, F.lag(_state(r)).over(per_hour))
-    same = (col(r.id) == F.col("__id")) & F.col("__hour").eqNullSafe(F.col("__in_hour"))
-    return (
-        rows.join(tails, same, "left")
+    keys = [col(r.id), F.col("__hour")]
+    tails = dated.groupBy(*keys).agg(F.max_by(_state(r), latest).alias("__tail"))
+    carried = F.lag("__tail").over(Window.partitionBy(col(r.id)).orderBy("__hour"))
+    tails = tails.select(*keys, carried.alias("__carried"))
+    within = F.lag(_state(r)).over(Window.partitionBy(*keys).orderBy(*_history(r)))
+    stepped = (
+        dated.withColumn(PREVIOUS, within)
+        .join(tails, [r.id, "__hour"], "left")
         .withColumn(PREVIOUS, F.coalesce(F.col(PREVIOUS), F.col("__carried")))
-        .drop("__hour", "__id", "__in_hour", "__carried")
+        .drop("__hour", "__carried")
     )
+    undated = rows.filter(col(r.snapshot).isNull()).withColumn(PREVIOUS, F.lit(None))
+    return stepped.unionByName(undated)
 
 
 def _complete(r: Roles) -> Column:

@@ -71,9 +71,9 @@ def _samples(df: DataFrame, column: str, n: int, row_key: Sequence[str]) -> Data
         F.sequence(F.lit(1), F.lit(TREES)),
         lambda t: F.pmod(F.xxhash64("h", t), F.lit(_BITS)) < F.lit(int(per_tree * _BITS)),
     )
-    pool = df.filter(col(column).isNotNull()).select(
-        col(column).cast("double").alias("v"), key_hash(row_key).alias("h")
-    )
+    # Without a key rows are told apart by position, so that copies are drawn one by one.
+    identity = key_hash(row_key) if row_key else F.monotonically_increasing_id()
+    pool = df.filter(col(column).isNotNull()).select(col(column).cast("double").alias("v"), identity.alias("h"))
     drawn = (
         pool.filter(F.pmod(F.xxhash64("h"), F.lit(_BITS)) < F.lit(int(share * _BITS)))
         .select("v", "h", F.explode(picked).alias("tree"))

@@ -36,7 +36,7 @@ MIN_VALUES = 10
 
 @dataclass(frozen=True)
 class OutlierSpec:
-    """One method and sensitivity for all columns; ``row_key`` identifies a row when sampling."""
+    """One method and sensitivity for all columns; ``row_key`` identifies a row when sampling (default: its position)."""
 
     columns: Sequence[str]
     method: str = "iqr"
@@ -140,7 +140,7 @@ def _centred(c: str, center: float, scale: float, threshold: float, weight: floa
 def _isolation_forest(df, columns, moments, spec) -> dict[str, Rule]:
     rules = {}
     for c in columns:
-        depth = isolation_score(df, c, moments[c]["n"], spec.row_key or df.columns)
+        depth = isolation_score(df, c, moments[c]["n"], spec.row_key)
         cut = (
             df.filter(col(c).isNotNull())
             .groupBy(depth.alias("depth"))  # a step function: few distinct depths

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ from snaplens.operators.semantics import Semantic, detect_types, is_number
 from snaplens.operators.skew import lookup_join
 from snaplens.operators.snapshots import latest_per_period, latest_snapshot
 from snaplens.roles import Roles, col
+from snaplens.session import stabilise
 
 AGGREGATIONS = ("sum", "mean", "count", "median", "min", "max")
 
@@ -63,6 +64,7 @@ def aggregate(df: DataFrame, keys: Sequence[str], y: str, how: str) -> DataFrame
         df = df.filter(col(key).isNotNull())
     value, by = col(y), [col(k) for k in keys]
     if how == "median":
+        df = stabilise(df.select(*by, value))  # read by several passes
         middle = group_quantiles(df, keys, y, [0.5]).select(*by, F.col("q")[0].alias("value"))
         return df.select(*by).distinct().join(middle, list(keys), "left")
     agg: dict[str, Column] = {
@@ -90,8 +92,10 @@ def descriptive_statistics(
     """
     latest = latest_snapshot(df, roles)
     columns = [c for c in (latest.columns if columns is None else columns) if c in latest.columns]
-    types = detect_types(latest, columns) if types is None else types
     group_by = group_by if group_by in latest.columns else None
+    needed = dict.fromkeys([*columns, *([group_by] if group_by else [])])
+    latest = stabilise(latest.select(*map(col, needed)))  # read by several passes
+    types = detect_types(latest, columns) if types is None else types
     stats = column_stats(latest, {c: types[c] for c in columns if c in types}, group_by)
     lead = [GROUP] if group_by else []
     category = F.col("type") == Semantic.CATEGORICAL.value
@@ -134,7 +138,7 @@ def histogram(
         value = col(x).cast("double")
     else:
         value = epoch_seconds(col(x).cast("timestamp_ntz"))
-    rows = rows.select(*keys, value.alias("v"), "above_limit")
+    rows = stabilise(rows.select(*keys, value.alias("v"), "above_limit"))  # read twice
 
     ends = rows.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
     lo, hi = ends["lo"], ends["hi"]
@@ -221,6 +225,7 @@ def scatter_plot(
     )
     if not sized:
         return points
+    points = stabilise(points)  # read twice
     reference = F.lit(2.0) * F.max("size") / F.lit(40.0**2)
     if keys:
         return lookup_join(points, points.groupBy(*keys).agg(reference.alias("size_ref")), keys)
@@ -261,7 +266,7 @@ def box_plot(df: DataFrame, roles: Roles, x: str, y: str, sort_by: str = "none")
     """Quartiles, whiskers (furthest value within 1.5 IQR) and outlier count per category."""
     _need(df, x=x, y=y)
     rows = latest_snapshot(df, roles).select(col(x), col(y).cast("double").alias("v"))
-    rows = rows.filter(col(x).isNotNull() & F.col("v").isNotNull())
+    rows = stabilise(rows.filter(col(x).isNotNull() & F.col("v").isNotNull()))  # read by several passes
     q = group_quantiles(rows, [x], "v", [0.25, 0.5, 0.75]).select(
         col(x), *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))]
     )
@@ -307,14 +312,14 @@ def time_series(
     rows, keys = _keep_group(latest_per_period(df, roles, x, period), group_by)
     rows = rows.withColumn("__start", col(x).cast("date"))
     found = aggregate(rows, ["__start", *keys], y, aggregation)
-    spans = found.groupBy(*keys).agg(F.min("__start").alias("a"), F.max("__start").alias("b"))
-    spine = spans.select(*keys, F.explode(F.sequence("a", "b", period_step(period))).alias("__start"))
-    value = F.col("value")
+    # Each period also stands for the empty ones up to the next; a group has no more
+    # rows here than the calendar has periods.
+    following = F.lead("__start").over(Window.partitionBy(*keys).orderBy("__start"))
+    reach = found.withColumn("__until", F.coalesce(F.date_sub(following, 1), F.col("__start")))
+    stretch = F.posexplode(F.sequence("__start", "__until", period_step(period)))
+    filled = reach.select(*keys, "value", stretch.alias("gap", "__start"))
+    value = F.when(F.col("gap") == 0, F.col("value"))
     if aggregation in ("sum", "count"):
         value = F.coalesce(value, F.lit(0))
     label = period_end(F.col("__start"), period).cast("timestamp_ntz").alias("period_end")
-    return (
-        spine.join(found, [*keys, "__start"], "left")
-        .select(*keys, label, value.alias("value"))
-        .orderBy(*keys, "period_end")
-    )
+    return filled.select(*keys, label, value.alias("value")).orderBy(*keys, "period_end")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,16 +45,18 @@ def local_session(cpus: int | str = "*", name: str = "snaplens", **extra: str) -
 
 
 def stabilise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder so later passes do not redo its plan.
+    """Write ``df`` once and read it back, so that later passes do not redo its plan.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A local
-    session without one gets a temporary folder; a cluster without one keeps the
-    plan as it is, because a machine-local folder would not survive an executor.
+    The table goes to the shared folder the cluster names in ``spark.checkpoint.dir``
+    and so outlives lost executors. A local session without one gets a temporary
+    folder; a cluster without one keeps the plan as it is.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None and not context.master.startswith("local"):
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
             return df
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="snaplens-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="snaplens-")
+    path = f"{folder.rstrip('/')}/snaplens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
