@@ -248,9 +248,10 @@ def _owner_activity(df: DataFrame, r: Roles) -> DataFrame:
         .agg(F.avg("__entities").alias("__mean"))
     )
     monthly = stabilise(monthly)  # one row per owner, read several times below
-    if monthly.count() < 3:
+    owners = monthly.count()
+    if owners < 3:
         return df.withColumn("user_activity_rating", F.lit("Unknown"))
-    low, high = column_quantiles(monthly, ["__mean"], [0.33, 0.67])["__mean"]
+    low, high = column_quantiles(monthly, ["__mean"], [0.33, 0.67], {"__mean": owners})["__mean"]
     mean = F.col("__mean")
     label = F.when(mean <= low, "Low").when(mean <= high, "Medium").otherwise("High")
     rated = monthly.select(col(r.owner), label.alias("user_activity_rating"))

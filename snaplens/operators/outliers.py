@@ -102,8 +102,8 @@ def outlier_rules(df: DataFrame, spec: OutlierSpec) -> list[Rule]:
 
 
 def _iqr(df, columns, moments, spec) -> dict[str, Rule]:
-    rules = {}
-    for c, (q1, median, q3) in column_quantiles(df, columns, [0.25, 0.5, 0.75]).items():
+    rules, counts = {}, {c: moments[c]["n"] for c in columns}
+    for c, (q1, median, q3) in column_quantiles(df, columns, [0.25, 0.5, 0.75], counts).items():
         reach = spec.threshold * (q3 - q1)
         lower, upper = q1 - reach, q3 + reach
         flag = (col(c) < lower) | (col(c) > upper)
@@ -120,9 +120,10 @@ def _z_score(df, columns, moments, spec) -> dict[str, Rule]:
 
 
 def _modified_z_score(df, columns, moments, spec) -> dict[str, Rule]:
-    medians = {c: q[0] for c, q in column_quantiles(df, columns, [0.5]).items()}
+    counts = {c: moments[c]["n"] for c in columns}
+    medians = {c: q[0] for c, q in column_quantiles(df, columns, [0.5], counts).items()}
     gaps = df.select(*[F.abs(col(c) - F.lit(medians[c])).alias(c) for c in columns])
-    mads = {c: q[0] for c, q in column_quantiles(gaps, columns, [0.5]).items()}
+    mads = {c: q[0] for c, q in column_quantiles(gaps, columns, [0.5], counts).items()}
     return {
         c: _centred(c, medians[c], mads[c] or moments[c]["samp"], spec.threshold, MAD_SCALE)
         for c in columns

@@ -10,7 +10,7 @@ enough values to sort. Every pass combines map-side; no task sees a whole group.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,20 +35,24 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
 
 
 def column_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float]
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], counts: Mapping[str, int] | None = None
 ) -> dict[str, list[float | None]]:
     """Quantiles of whole columns; at most one row per column reaches the driver."""
-    found = {r["column"]: list(r["q"]) for r in long_quantiles(df, columns, probs).collect()}
+    found = {r["column"]: list(r["q"]) for r in long_quantiles(df, columns, probs, counts=counts).collect()}
     return {c: found.get(c, [None] * len(probs)) for c in columns}
 
 
 def long_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = ()
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    keys: Sequence[str] = (),
+    counts: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Rows ``keys``, ``column``, ``q``: the quantiles of several columns, per group if keyed.
 
     One pass finds what is too large for ``percentile``: columns when there are no
-    keys, else groups.
+    keys, else groups. It is saved when the ``counts`` of the columns are known.
     """
     keys, by = list(keys), [col(k) for k in keys]
     data = df.select(*by, *[_number(c).alias(f"__v{i}") for i, c in enumerate(columns)])
@@ -62,8 +66,9 @@ def long_quantiles(
             large = dict.fromkeys(values, True)
         small = values
     else:
-        counts = data.agg(*[F.count(v).alias(v) for v in values]).first()
-        large = {v: counts[v] > skew.HOT_ROWS for v in values}
+        if counts is None:
+            counts = dict(zip(columns, data.agg(*[F.count(v) for v in values]).first()))
+        large = {v: counts[c] > skew.HOT_ROWS for v, c in zip(values, columns)}
         small = [v for v in values if not large[v]]
 
     def long(rows: DataFrame, picked: Sequence[str], name: str) -> DataFrame:

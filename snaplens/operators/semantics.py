@@ -43,7 +43,7 @@ FILL = {Semantic.CATEGORICAL: "Unknown", Semantic.TEXT: ""}
 
 _DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 _SHORTEST_DATE, _LONGEST_DATE = 8, 40
-_NUMBER_START = r"^[+-]?(\.?\d|[Ii]nf)"
+_NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[Ii]nf(inity)?)$"
 
 
 def _shape(date_format: str) -> str:
@@ -81,8 +81,8 @@ def parse_date(value: Column, formats: Sequence[str] = DATE_FORMATS, iso: bool =
 
 def parse_number(value: Column) -> Column:
     text = F.trim(value)
-    # A failed cast is costly; texts that cannot start a number skip it.
-    number = F.when(text.rlike(_NUMBER_START), text.try_cast("double"))
+    # A failed cast is costly; texts that are no number skip it.
+    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
     return F.when(~F.isnan(number), number)
 
 
