@@ -110,43 +110,49 @@ def _narrow(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     rows = stabilise(rows)
     spark, by = rows.sparkSession, [col(k) for k in keys]
     key_types = [rows.schema[k] for k in keys]
-    sizes = {tuple(r[k] for k in keys): r["n"] for r in rows.groupBy(*by).agg(F.count("v").alias("n")).collect()}
+    sizes = {
+        tuple(r[k] for k in keys): r["n"]
+        for r in rows.groupBy(*by).agg(F.count("v").alias("n")).collect()
+    }
     ranks = {
         key: [_Rank(edge((n - 1) * p)) for p in probs for edge in (math.floor, math.ceil)]
         for key, n in sizes.items()
     }
-    edge_type = T.StructType(
-        [T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()), T.StructField("place", T.IntegerType())]
-    )
-    schema = T.StructType([*key_types, T.StructField("edges", T.ArrayType(edge_type))])
-
-    def measure(*picks):
-        """One pass: ``picks`` of every range, keyed by group."""
-        table = spark.createDataFrame(
-            [(*key, [(r.lo, r.hi, r.place) for r in found]) for key, found in ranks.items()], schema
-        )
+
+    def ranges(found: list[_Rank]) -> list[tuple[float, float]]:
+        """Different ranges only: neighbouring ranks nearly always share theirs."""
+        return list(dict.fromkeys((r.lo, r.hi) for r in found if r.value is None))
+
+    def small_table(name: str, kind: T.DataType, cells) -> DataFrame:
+        schema = T.StructType([*key_types, T.StructField(name, T.ArrayType(kind))])
+        return F.broadcast(spark.createDataFrame([(*key, cells(found)) for key, found in ranks.items()], schema))
+
+    def measure(**picks) -> DataFrame:
+        """One pass over the values: ``picks`` of every range, one row per group."""
+        edges = small_table("edges", _struct(lo=T.DoubleType(), hi=T.DoubleType()), ranges)
+        width = max(len(ranges(found)) for found in ranks.values())
         aggs = [
-            pick(F.col("v"), F.col("edges")[i]).alias(f"{name}{i}")
-            for i in range(2 * len(probs))
-            for name, pick in picks
+            F.array(*[pick(F.col("v"), F.get("edges", F.lit(i))) for i in range(width)]).alias(name)
+            for name, pick in picks.items()
         ]
-        return rows.join(F.broadcast(table), keys).groupBy(*by, "edges").agg(*aggs)
+        return rows.join(edges, keys).groupBy(*by).agg(*aggs)
 
-    def inside(v, edge):
+    def inside(v: Column, edge: Column) -> Column:
         return F.when((v > edge["lo"]) & (v < edge["hi"]), v)
 
     cuts = F.array(*[F.lit(j / GRID) for j in range(GRID + 1)])
     while any(r.open for found in ranks.values() for r in found):
         seen = measure(
-            ("upto", lambda v, e: F.count_if(v <= e["lo"])),
-            ("under", lambda v, e: F.count_if(v < e["hi"])),
-            ("grid", lambda v, e: F.percentile_approx(inside(v, e), cuts, ACCURACY)),
+            upto=lambda v, e: F.count_if(v <= e["lo"]),
+            under=lambda v, e: F.count_if(v < e["hi"]),
+            grid=lambda v, e: F.percentile_approx(inside(v, e), cuts, ACCURACY),
         ).collect()
         for row in seen:
-            for i, r in enumerate(ranks[tuple(row[k] for k in keys)]):
-                if not r.open:
-                    continue
-                upto, under = row[f"upto{i}"], row[f"under{i}"]
+            found = ranks[tuple(row[k] for k in keys)]
+            slots = {edge: i for i, edge in enumerate(ranges(found))}
+            for r in [r for r in found if r.open]:
+                i = slots[r.lo, r.hi]
+                upto, under, grid = row["upto"][i], row["under"][i], row["grid"][i]
                 if r.rank < upto:
                     r.value = r.lo
                 elif r.rank >= under:
@@ -156,25 +162,28 @@ def _narrow(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
                 else:
                     # The sketch is off by at most 1/ACCURACY; a whole grid step is ample.
                     share = (r.rank - upto) / (under - upto) * GRID
-                    grid, low, high = row[f"grid{i}"], math.floor(share) - 1, math.ceil(share) + 2
+                    low, high = math.floor(share) - 1, math.ceil(share) + 2
                     r.lo, r.hi = (
                         grid[low] if low >= 0 else r.lo,
                         grid[high] if high <= GRID else r.hi,
                     )
 
-    # What is left inside each range is few enough to sort.
-    last = measure((
-        "value",
-        lambda v, e: F.sort_array(F.collect_list(F.when(e["place"].isNotNull(), inside(v, e)))),
-    ))
-    picked = [
-        F.get(F.col(f"value{i}"), F.col("edges")[i]["place"]).alias(f"value{i}")
-        for i in range(2 * len(probs))
-    ]
+    values = {key: [r.value for r in found] for key, found in ranks.items()}
+    if any(r.value is None for found in ranks.values() for r in found):
+        # What is left inside each range is few enough to sort; pick the places from it.
+        def places(found: list[_Rank]):
+            slots = {edge: i for i, edge in enumerate(ranges(found))}
+            return [(slots[r.lo, r.hi], r.place) if r.value is None else None for r in found]
+
+        wanted = small_table("places", _struct(slot=T.IntegerType(), place=T.IntegerType()), places)
+        sorted_ = measure(inside=lambda v, e: F.sort_array(F.collect_list(inside(v, e)))).join(wanted, keys)
+        picked = F.transform("places", lambda p: F.get(F.get("inside", p["slot"]), p["place"]))
+        for row in sorted_.select(*by, picked.alias("values")).collect():
+            key = tuple(row[k] for k in keys)
+            values[key] = [b if a is None else a for a, b in zip(values[key], row["values"])]
+
     answers = []
-    for row in last.select(*by, *picked).collect():
-        key = tuple(row[k] for k in keys)
-        stats = [r.value if r.place is None else row[f"value{i}"] for i, r in enumerate(ranks[key])]
+    for key, stats in values.items():
         q = []
         for p, a, b in zip(probs, stats[::2], stats[1::2]):
             part = (sizes[key] - 1) * p % 1
@@ -182,3 +191,7 @@ def _narrow(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
         answers.append((*key, q))
     out = T.StructType([*key_types, T.StructField("q", T.ArrayType(T.DoubleType()))])
     return spark.createDataFrame(answers, out)
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])

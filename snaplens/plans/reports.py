@@ -143,9 +143,9 @@ def histogram(
     ends = rows.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
     lo, hi = ends["lo"], ends["hi"]
     width = (hi - lo) / F.lit(bins)
-    place = F.least(F.floor(F.try_divide(F.col("v") - lo, width)).cast("int") + 1, F.lit(bins))
+    step = F.coalesce(F.floor(F.try_divide(F.col("v") - lo, width)).cast("int"), F.lit(0))  # no width: one bin
     counted = (
-        rows.select(*keys, F.coalesce(place, F.lit(1)).alias("bin"), "above_limit", lo.alias("a"), width.alias("w"))
+        rows.select(*keys, F.least(step + 1, F.lit(bins)).alias("bin"), "above_limit", lo.alias("a"), width.alias("w"))
         .groupBy(*keys, "bin", "a", "w")
         .agg(F.count("*").alias("count"), F.count_if("above_limit").alias("above_limit"))
     )
