@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snaplens.operators.skew import lookup_join
 from snaplens.roles import Roles
 from snaplens.session import configure
 
@@ -53,11 +54,12 @@ ORDERS_SQL = "SELECT o.*, c.c_mktsegment FROM orders o LEFT JOIN customer c ON o
 
 
 def order_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """The lookup leaves the rows unpartitioned by customer when one of them is hot, so the
+    reductions that follow can still limit map-side."""
     owner = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("o_custkey"), "c_mktsegment"
     )
-    orders = table(spark, folder, "orders")
-    return orders.join(owner, "o_custkey", "left").select(*orders.columns, "c_mktsegment")
+    return lookup_join(table(spark, folder, "orders"), owner, ["o_custkey"])
 
 
 # Events as snapshots of their user; the key inside ``props`` owns the event.
