@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from registry.base import (
     EVENT_ROLES,
     EVENTS_SQL,
+    ORDERS_ROLES,
     ORDERS_SQL,
     event_snapshots,
     order_snapshots,
@@ -23,6 +24,7 @@ from snaplens import (
     OutlierSpec,
     Semantic,
     TextFilter,
+    add_features,
     apply_filters,
     clip_upper,
     detect_types,
@@ -204,9 +206,6 @@ def _(spark, folder):
     o_orderstatus, o_orderdate, o_orderpriority, c_mktsegment FROM ({ORDERS_SQL})""",
 )
 def _(spark, folder):
-    from registry.base import ORDERS_ROLES
-    from snaplens import add_features
-
     df = add_features(order_snapshots(spark, folder), ORDERS_ROLES, ["opportunity_age_days"])
     return order_columns(df, ["o_orderkey", "o_custkey", "o_totalprice"], ["opportunity_age_days", "no_such_column"])
 

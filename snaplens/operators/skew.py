@@ -17,6 +17,7 @@ from snaplens.roles import col
 
 HOT_ROWS = 1_000_000  # a key with this many rows leaves the ordinary path
 MAX_HOT = 10_000  # bounds the list, hence the broadcasts
+FAN_IN = 1_000  # groups of tasks whose sketches are merged first
 TRACKED = 65_536  # counters in the sketch: misses no key above ~1/18,000 of the rows
 
 
@@ -31,21 +32,30 @@ def is_hot(keys: Sequence[str], hot: Sequence[int]) -> Column:
 def hot_keys(df: DataFrame, *key_sets: Sequence[str], rows: int | None = None) -> list[list[int]]:
     """Hashes of the keys with at least ``rows`` rows, one list per key set.
 
-    One shuffle-free scan of the key columns with a frequent-items sketch; at
-    most ``MAX_HOT`` hashes per key set reach the driver. A null key counts as a key.
+    One scan of the key columns with a frequent-items sketch, and no shuffle of the
+    keys. The tasks' sketches are merged in two steps, so that no task reads them
+    all; at most ``MAX_HOT`` hashes per key set reach the driver. A null key counts
+    as a key.
     """
     floor = HOT_ROWS if rows is None else rows
-    found = [
-        F.transform(
-            F.filter(
-                F.call_function("approx_top_k", key_hash(keys), F.lit(MAX_HOT), F.lit(TRACKED)),
-                lambda item: item["count"] >= floor,
-            ),
-            lambda item: item["item"],
-        ).alias(f"k{i}")
-        for i, keys in enumerate(key_sets)
-    ]
-    return [list(hashes or []) for hashes in df.agg(*found).first()]
+    names = [f"k{i}" for i in range(len(key_sets))]
+    hashed = df.select(
+        (F.spark_partition_id() % FAN_IN).alias("part"),
+        *[key_hash(keys).alias(name) for name, keys in zip(names, key_sets)],
+    )
+    near = hashed.groupBy("part").agg(
+        *[F.call_function("approx_top_k_accumulate", F.col(n), F.lit(TRACKED)).alias(n) for n in names]
+    )
+    merged = near.groupBy(F.lit("all")).agg(  # keyed, because an empty table has no sketch to merge
+        *[F.call_function("approx_top_k_combine", F.col(n), F.lit(TRACKED)).alias(n) for n in names]
+    )
+
+    def large(name: str) -> Column:
+        found = F.call_function("approx_top_k_estimate", F.col(name), F.lit(MAX_HOT))
+        return F.transform(F.filter(found, lambda k: k["count"] >= floor), lambda k: k["item"])
+
+    row = merged.select(*map(large, names)).first()
+    return [list(hashes) for hashes in row] if row else [[] for _ in names]
 
 
 def lookup_join(

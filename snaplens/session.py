@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,11 @@ def local_session(cpus: int | str = "*", name: str = "snaplens", **extra: str) -
     return spark
 
 
+@cache
+def _scratch() -> str:
+    return tempfile.mkdtemp(prefix="snaplens-")
+
+
 def stabilise(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back, so that later passes do not redo its plan.
 
@@ -56,7 +62,7 @@ def stabilise(df: DataFrame) -> DataFrame:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             return df
-        folder = tempfile.mkdtemp(prefix="snaplens-")
+        folder = _scratch()
     path = f"{folder.rstrip('/')}/snaplens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,7 +4,6 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from snaplens import Roles, add_features, bar_chart, box_plot, latest_snapshot
 from snaplens.operators import skew
