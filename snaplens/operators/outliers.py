@@ -67,7 +67,8 @@ class Rule:
     flag: Column | None = field(default=None, compare=False)
 
     def outlier(self) -> Column:
-        return F.lit(False) if self.flag is None else F.coalesce(self.flag, F.lit(False))
+        """Never null, and in a form whose negation the scan can take."""
+        return F.lit(False) if self.flag is None else col(self.column).isNotNull() & self.flag
 
 
 def outlier_rules(df: DataFrame, spec: OutlierSpec) -> list[Rule]:

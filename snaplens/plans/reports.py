@@ -249,9 +249,12 @@ def correlation_matrix(
         return (col(c).cast("int") if isinstance(kinds[c], T.BooleanType) else col(c)).cast("double")
 
     pairs = [(i, j) for i in range(len(usable)) for j in range(i, len(usable))]
-    found = latest.agg(*[
-        correlation(number(usable[i]), number(usable[j])).alias(f"r{i}_{j}") for i, j in pairs
-    ])
+
+    def r(i: int, j: int) -> Column:
+        a, b = number(usable[i]), number(usable[j])
+        return F.when(F.stddev_pop(a) > 0, F.lit(1.0)) if i == j else correlation(a, b)
+
+    found = latest.agg(*[r(i, j).alias(f"r{i}_{j}") for i, j in pairs])
     cells = [
         F.struct(
             F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{min(i, j)}_{max(i, j)}").alias("r")

@@ -111,3 +111,11 @@ def test_tree_steps():
     assert steps[0][0] == -np.inf and all(a < b for (a, _), (b, _) in zip(steps, steps[1:]))
     assert steps[-1][1] < max(path for _, path in steps)  # the far value is isolated early
     assert grow_tree(np.array([4.0] * TREE_ROWS), np.random.default_rng(0)) == [(-np.inf, mean_path(TREE_ROWS))]
+
+
+def test_exclusion_reaches_the_scan(spark, df, tmp_path):
+    df.write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    kept = exclude_outliers(spark.read.parquet(str(tmp_path / "t")), OutlierSpec(["a"]))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Or(IsNull(a),And(GreaterThanOrEqual(a," in plan
