@@ -85,8 +85,9 @@ def plan_mix(
     Null and blank texts have size 0: they are taken as often as their block and add no
     words. Null ids and repeated rows are rows like any other; rows equal in id and
     text share a block. An empty table gives an empty mix. The driver sees one row per
-    source; what is taken of a source misses its target by half a sub-block at most
-    (1/65,536 of the source, or one document if that is more).
+    source. Blocks, then sub-blocks are taken as long as they fit, and then the one
+    document that closes the gap best, so a source misses its target by less than one
+    sub-block (1/65,536 of it, or a document if that is more).
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(plain(text), F.lit(WORD)), F.lit(0)).cast("long")
@@ -112,7 +113,7 @@ def plan_mix(
     )
     ranked = saved(ranked, "ranked")
 
-    # The block at the edge: its sub-blocks in order, as long as they bring the sum nearer.
+    # The block at the edge: its sub-blocks in order, as long as they fit.
     edge = ranked.filter("edge").select(F.col("source").alias("s"), F.col("block").alias("b"), (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))
     subs = (
         sizes.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("s")) & (_block(F.col("h")) == F.col("b")))
@@ -120,17 +121,29 @@ def plan_mix(
     )
     run = Window.partitionBy("source").orderBy("sub").rowsBetween(Window.unboundedPreceding, 0)
     cuts = (
-        subs.withColumn("upto", F.sum("words").over(run)).filter(F.col("upto") - F.col("words") / 2 <= F.col("left"))
-        .groupBy("source", F.col("b")).agg((F.max("sub") + 1).alias("cut"))
-        .select(F.col("source").alias("s2"), F.col("b").alias("b2"), "cut")
+        subs.withColumn("upto", F.sum("words").over(run)).filter(F.col("upto") <= F.col("left"))
+        .groupBy("source", F.col("b")).agg((F.max("sub") + 1).alias("cut"), F.max("upto").alias("fitted"))
+        .select(F.col("source").alias("s2"), F.col("b").alias("b2"), "cut", "fitted")
     )
     plan = (
         ranked.join(cuts, F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")), "left")
-        .select("source", "block", "rank", "rows", "source_size", "target", "full",
-                F.when(F.col("once_more"), BLOCKS).otherwise(F.coalesce("cut", F.lit(0))).alias("cut"))
+        .select("source", "block", "rank", "source_size", "target", "full", "rest",
+                F.when(F.col("once_more"), BLOCKS).otherwise(F.coalesce("cut", F.lit(0))).alias("cut"),
+                F.when(F.col("once_more"), F.col("words")).otherwise(F.coalesce("fitted", F.lit(0))).alias("fitted"))
     )
     plan = saved(plan, "plan")
 
+    # The document, taken less often than others, whose words come nearest to what is left.
+    gaps = plan.groupBy("source").agg((F.max("rest") - F.sum("fitted")).alias("gap")).withColumnRenamed("source", "s")
+    spare = plan.filter(F.col("cut") < BLOCKS).select(F.col("source").alias("s2"), F.col("block").alias("b2"), "cut")
+    same = sizes.groupBy("source", "h").agg(F.sum("size").alias("words"))
+    left_over = (
+        same.join(_bounded(spare), F.col("source").eqNullSafe(F.col("s2")) & (_block(F.col("h")) == F.col("b2")) & (_sub(F.col("h")) >= F.col("cut")))
+        .join(F.broadcast(gaps), F.col("source").eqNullSafe(F.col("s"))).filter(F.abs(F.col("words") - F.col("gap")) < F.col("gap"))
+    )
+    miss = F.struct(F.abs(F.col("words") - F.col("gap")), F.col("h"))
+    picks = saved(left_over.groupBy("source").agg(F.min_by("h", miss).alias("pick")), "picks")
+
     quota = plan.groupBy("source").agg(F.sum(F.col("full") + (F.col("cut") > 0).cast("int")).alias("n")).collect()
     names = sorted((r["source"] for r in quota), key=lambda s: (s is None, s or ""))
     wanted = {r["source"]: int(r["n"]) for r in quota}
@@ -146,11 +159,13 @@ def plan_mix(
         plan.select("*", F.explode(passes).alias("pass")).withColumn("nth", F.row_number().over(nth) - 1)
         .join(F.broadcast(ends), F.col("source").eqNullSafe(F.col("s"))).drop("s")
         .withColumn("mix_shard", F.size(F.filter("ends", lambda e: e <= F.col("nth"))))
-        .select("source", "block", "pass", F.when(F.col("pass") == 0, F.col("cut")).otherwise(BLOCKS).alias("cut"), "mix_shard")
-    )
+        .select("source", "block", "pass", F.when(F.col("pass") == 0, F.col("cut")).otherwise(BLOCKS).alias("cut"), F.lit(None).cast("long").alias("pick"), "mix_shard")
+    ).unionByName(picks.select("source", _block(F.col("pick")).alias("block"), F.lit(0).alias("pass"), F.lit(0).alias("cut"), "pick", F.pmod("pick", F.lit(shards)).cast("int").alias("mix_shard")))
     wide = plan.select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "full", "cut")
+    wide = wide.join(F.broadcast(picks.withColumnRenamed("source", "s2")), F.col("s").eqNullSafe(F.col("s2")), "left")
     joined = sizes.join(_bounded(wide), F.col("source").eqNullSafe(F.col("s")) & (_block(F.col("h")) == F.col("b")))
-    copies = F.col("full") + (_sub(F.col("h")) < F.col("cut")).cast("int")
+    once_more = (_sub(F.col("h")) < F.col("cut")) | F.coalesce(F.col("h") == F.col("pick"), F.lit(False))
+    copies = F.col("full") + once_more.cast("int")
     return Mix(joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")), saved(draws, "draws"), docs)
 
 
@@ -165,8 +180,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     Sort a shard by ``mix_order`` to read it shuffled. See ``plan_mix`` for the rules.
     """
     plan = plan_mix(docs, doc_id, text, source, seed=seed, **options)
-    draws = plan.draws.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "pass", "cut", "mix_shard")
+    draws = plan.draws.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "pass", "cut", "pick", "mix_shard")
     rows = docs.select(F.struct(*map(plain, docs.columns)).alias("r"), plain(source).cast("string").alias("__source"), _hash(doc_id, text).alias("h"))
-    taken = rows.join(_bounded(draws), F.col("__source").eqNullSafe(F.col("__s")) & (_block(F.col("h")) == F.col("__b")) & (_sub(F.col("h")) < F.col("cut")))
+    taken = rows.join(_bounded(draws), F.col("__source").eqNullSafe(F.col("__s")) & (_block(F.col("h")) == F.col("__b")) & ((_sub(F.col("h")) < F.col("cut")) | (F.col("h") == F.col("pick"))))
     return taken.select(*[F.col("r").getField(c).alias(c) for c in docs.columns if c not in ("mix_shard", "mix_order")],
                         "mix_shard", F.xxhash64("h", "pass", F.lit(seed)).alias("mix_order"))

@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snaplens.llm.ann import nearest
 from snaplens.llm.bpe import bpe_encode
 from snaplens.llm.common import remainder
+from snaplens.llm.embedding_dedup import cosine_components
 from snaplens.llm.jaccard import jaccard_components
 from snaplens.llm.langid import fit, identify
 from snaplens.llm.line_templates import LINE_DEDUP_SQL, line_dedup
+from snaplens.llm.lm import lm_scores
 from snaplens.llm.mixing import plan_mix
+from snaplens.llm.sharding import shard_by_size
+from snaplens.llm.token_files import read_tokens, write_tokens
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -24,6 +29,14 @@ def embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/embeddings.parquet")
 
 
+def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    files = write_tokens(docs, public_tokenizers.path(TOKENIZER), end_id=2)
+
+    return read_tokens(files, docs).select(
+        "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(documents(spark, folder), words_each=3, percent=90)
 
@@ -39,11 +52,24 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(embeddings(spark, folder), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return cosine_components(embeddings(spark, folder), cosine=0.95)
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     plan = plan_mix(documents(spark, folder))
     return plan.sizes.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = shard_by_size(documents(spark, folder), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     model = fit(docs, remainder("doc_id", 5) != 0)
@@ -56,7 +82,14 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 
+def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    scored = lm_scores(docs, remainder("doc_id", 10) != 0)
+    return scored.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_jaccard_join, op3_bpe, op6_mixing, op8_language_id, op9_line_dedup,
+    op1_token_files, op2_jaccard_join, op3_bpe, op4_nearest, op5_embedding_dedup, op6_mixing, op7_sharding,
+    op8_language_id, op9_line_dedup, op10_lm_scoring,
 )}
 ORACLES = {"op9_line_dedup": LINE_DEDUP_SQL}
