@@ -4,7 +4,9 @@ One pass over the corpus counts words and word pairs. Pair and word counts are
 quantised on a log scale and put into a Bloom filter in segments, each as large as its
 entries need; an n-gram of level l is entered once for every level up to l, and a
 reader probes level after level until one is missing. The filter is broadcast after
-its size is checked. Probabilities smooth the pair counts with the word counts.
+its size is checked. Probabilities smooth the pair counts with the word counts; what
+the stored pairs of a word add up to is kept in the filter as well, so that pairs too
+rare to be stored leave their share to the word model.
 
 Exact word counts, for the base score, stay distributed: the words of a piece of
 corpus travel to the bucket of their hash together with the texts that use them, and
@@ -67,8 +69,8 @@ def level_value(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.maximum(1.0, STEP ** (level - 0.75)), 0.0)
 
 
-def _bits(short: np.ndarray, level: np.ndarray | int, probe: int) -> np.ndarray:
-    return mix(short.astype(np.uint64) + (np.uint64(1) << np.uint64(40)) * np.asarray(level, np.uint64) + np.uint64(probe) * np.uint64(0xD1B54A32D192ED03))
+def _bits(short: np.ndarray, level: int, probe: int) -> np.ndarray:
+    return mix(short.astype(np.uint64) + np.uint64((level << 40) ^ (probe + 1) * 0x1B54A32D192ED03))
 
 
 def filter_segment(short: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -111,16 +113,17 @@ class CountFilter:
         return level_value(level)
 
 
-STATS = "kind int, part int, k1 long, k2 long, base double, known long, tokens long, vocabulary long, bits binary"
+STATS = "kind int, part int, k1 long, k2 long, base double, known long, tokens long, vocabulary long, bits binary, hashes binary, counts binary"
 _ROWS = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("k1", pa.binary()),
                    ("k2", pa.binary()), ("ends", pa.binary()), ("word", pa.binary()), ("times", pa.binary())])
 _ROWS_DDL = "kind int, part int, hashes binary, counts binary, k1 binary, k2 binary, ends binary, word binary, times binary"
 _OUT = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("base", pa.float64()),
-                  ("known", pa.int64()), ("tokens", pa.int64()), ("vocabulary", pa.int64()), ("bits", pa.binary())])
+                  ("known", pa.int64()), ("tokens", pa.int64()), ("vocabulary", pa.int64()), ("bits", pa.binary()),
+                  ("hashes", pa.binary()), ("counts", pa.binary())])
 
 
 def _piece_rows(texts, k1, k2, train, hashes, buckets):
-    """What one piece sends on: kind 0, words by bucket with the texts using them; kind 1, n-gram counts by segment."""
+    """What one piece sends on: kind 0, words by bucket with the texts using them; kinds 1 and 2, counts of pairs and of single words by segment."""
     tokens, sizes = token_hashes(texts, hashes)
     doc = np.repeat(np.arange(len(texts)), sizes)
     learn = train[doc]
@@ -140,23 +143,31 @@ def _piece_rows(texts, k1, k2, train, hashes, buckets):
         yield (0, b, distinct[mine].tobytes(), counts[mine].tobytes(), k1[docs].tobytes(), k2[docs].tobytes(), ends.tobytes(),
                local.astype("<i4").tobytes(), times[here].astype("<i4").tobytes())
     pairs, before = pair_hashes(tokens, sizes)
-    first = before == START
-    grams = np.concatenate([pairs[learn], single_hashes(tokens[learn]), single_hashes(before[learn & first])])
-    kind = np.concatenate([np.zeros(learn.sum(), np.uint8), np.ones(len(grams) - learn.sum(), np.uint8)])
-    grams, at, n = np.unique(grams, return_index=True, return_counts=True)
+    grams, at, n = np.unique(pairs[learn], return_index=True, return_counts=True)
+    yield from _gram_rows(1, grams, n, single_hashes(before[learn][at]), buckets)
+    grams, n = np.unique(single_hashes(tokens[learn]), return_counts=True)
+    yield from _gram_rows(2, grams, n, None, buckets)
+
+
+def _gram_rows(kind, grams, n, context, buckets):
+    """Counts of n-grams by segment; a count above 255 is sent in several entries."""
     segment = ((grams >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     for s in range(buckets):
-        mine = segment == s
-        if mine.any():
-            short, count = (grams[mine] & np.uint64(0xFFFFFFFF)).astype("<u4"), n[mine]
-            order = np.argsort(short, kind="stable")
-            # A count above 255 is sent in several entries; nothing is cut off.
-            small, more = np.minimum(count, 255), np.flatnonzero(count > 255)
-            extra = [(i, c) for i in more for c in [255] * int((count[i] - 255) // 255) + [int((count[i] - 255) % 255)]]
-            at_extra = np.array([i for i, _ in extra], np.int64)
-            yield (1, s, np.concatenate([short[order], short[at_extra]]).tobytes(),
-                   np.concatenate([small[order], [c for _, c in extra]]).astype(np.uint8).tobytes(), b"", b"", b"",
-                   np.concatenate([kind[at[mine]][order], kind[at[mine]][at_extra]]).astype(np.uint8).tobytes(), b"")
+        mine = np.flatnonzero(segment == s)
+        if len(mine):
+            times = -(-n[mine] // 255)
+            mine = np.repeat(mine, times)
+            last = np.cumsum(times) - 1
+            count = np.full(len(mine), 255, np.uint8)
+            count[last] = n[mine[last]] - 255 * (times - 1)
+            short = (grams[mine] & np.uint64(0xFFFFFFFF)).astype("<u4")
+            if context is None:
+                yield (kind, s, short.tobytes(), count.tobytes(), *[b""] * 5)
+                continue
+            of = (context[mine] & np.uint64(0xFFFFFFFF)).astype("<u4")
+            order = np.argsort(of, kind="stable")
+            words_, runs = np.unique(of, return_counts=True)
+            yield (kind, s, short[order].tobytes(), count[order].tobytes(), words_.tobytes(), b"", runs.astype("<u4").tobytes(), b"", b"")
 
 
 def _word_bucket(rows: pa.Table, part: int) -> pa.RecordBatch:
@@ -178,18 +189,32 @@ def _word_bucket(rows: pa.Table, part: int) -> pa.RecordBatch:
     _, once = np.unique(np.stack([k1, k2]), axis=1, return_index=True)  # copies have the same sum
     n = len(once)
     return table(_OUT, [0] * n + [2], [part] * (n + 1), [*k1[once].tolist(), None], [*k2[once].tolist(), None], [*base[once].tolist(), None],
-                 [*known[once].tolist(), None], [None] * n + [int(total.sum())], [None] * n + [int((total > 0).sum())], [None] * (n + 1))
-
-
-def _segment(rows: pa.Table, part: int) -> pa.RecordBatch:
-    short = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("hashes").to_pylist()])
-    counts = np.concatenate([np.frombuffer(x, np.uint8) for x in rows.column("counts").to_pylist()])
-    kind = np.concatenate([np.frombuffer(x, np.uint8) for x in rows.column("word").to_pylist()])
-    distinct, first, at = np.unique(short, return_index=True, return_inverse=True)
-    total = np.bincount(at, weights=counts).astype(np.int64)
-    keep = total >= np.where(kind[first] == 0, LEAST_PAIR, 1)
-    bits = filter_segment(distinct[keep].astype(np.uint64), total[keep]).tobytes() if keep.any() else b""
-    return table(_OUT, [1], [part], *[[None]] * 6, [bits])
+                 [*known[once].tolist(), None], [None] * n + [int(total.sum())], [None] * n + [int((total > 0).sum())], *[[None] * (n + 1)] * 3)
+
+
+def _segment(rows: pa.Table, kind: int, part: int, buckets: int) -> pa.RecordBatch:
+    """The filter segment of some n-grams; for pairs also what each word's stored pairs add up to."""
+    read = lambda name, of: np.concatenate([np.frombuffer(x, of) for x in rows.column(name).to_pylist()])
+    short = read("hashes", "<u4").astype(np.uint64)
+    if kind == 1:
+        short |= np.repeat(read("k1", "<u4"), read("ends", "<u4")).astype(np.uint64) << np.uint64(32)
+    distinct, at = np.unique(short, return_inverse=True)
+    total = np.bincount(at, weights=read("counts", np.uint8 if kind < 3 else "<i8")).astype(np.int64)
+    if kind == 1:
+        distinct, total = distinct[total >= LEAST_PAIR], total[total >= LEAST_PAIR]
+    low = distinct & np.uint64(0xFFFFFFFF)
+    out = [(kind, part, None, None, filter_segment(low, total).tobytes() if len(low) else b"")]
+    if kind == 1 and len(low):
+        of, at = np.unique(distinct >> np.uint64(32), return_inverse=True)
+        sums, to = np.bincount(at, weights=total).astype("<i8"), mass_segment(of, buckets)
+        out += [(3, s, of[to == s].astype("<u4").tobytes(), sums[to == s].tobytes(), None) for s in np.unique(to).tolist()]
+    n = len(out)
+    kinds, parts, hashes, counts, bits = map(list, zip(*out))
+    return table(_OUT, kinds, parts, *[[None] * n] * 6, bits, hashes, counts)
+
+
+def mass_segment(short: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(short) % np.uint64(buckets)).astype(np.int64)
 
 
 def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,28 +241,35 @@ def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
 
     def reduce(key, rows):
         kind, part = key[0].as_py(), key[1].as_py()
-        return pa.Table.from_batches([_word_bucket(rows, part) if kind == 0 else _segment(rows, part)])
+        return pa.Table.from_batches([_word_bucket(rows, part) if kind == 0 else _segment(rows, kind, part, buckets)])
 
     learned = base.select("k1", "k2", "train", "text").mapInArrow(count, _ROWS_DDL)
     stats = saved(learned.groupBy("kind", "part").applyInArrow(reduce, STATS), "stats")
-    n, v, size = stats.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0)), F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()
+    n, v = stats.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
+    masses = stats.filter("kind = 3").select("kind", "part", "hashes", "counts").groupBy("kind", "part").applyInArrow(reduce, STATS)
+    segments = saved(stats.filter("kind in (1, 2)").unionByName(masses).filter("length(bits) > 0").select("kind", "part", "bits"), "filter")
+    size = segments.agg(F.sum(F.length("bits"))).first()[0] or 0
     if size > FILTER_LIMIT:
         raise ValueError(f"the count filter takes {size} bytes, above the limit of {FILTER_LIMIT}; raise LEAST_PAIR")
-    segments = {r["part"]: bytes(r["bits"]) for r in stats.filter("kind = 1").select("part", "bits").collect()}
-    sizes = np.array([len(segments.get(i, b"")) * 8 for i in range(buckets)], np.int64)
+    found = {(r["kind"], r["part"]): bytes(r["bits"]) for r in segments.collect()}
+    parts = [found.get((kind, i), b"") for kind in (1, 2, 3) for i in range(buckets)]
+    sizes = np.array([len(p) * 8 for p in parts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    shipped = spark.sparkContext.broadcast((b"".join(segments.get(i, b"") for i in range(buckets)), starts, sizes))
+    shipped = spark.sparkContext.broadcast((b"".join(parts), starts, sizes))
     denominator = n + ADD * (v + 1)
 
     def score(batches):
         raw, starts, sizes = shipped.value
-        held, hashes = CountFilter(np.frombuffer(raw, np.uint8), starts, sizes), WordHashes()
+        hashes, data = WordHashes(), np.frombuffer(raw, np.uint8)
+        pair_filter, word_filter, mass_filter = (
+            CountFilter(data, starts[i * buckets : (i + 1) * buckets], sizes[i * buckets : (i + 1) * buckets]) for i in range(3))
         for piece in gathered(batches, PIECE // 2):
             tokens, n_tokens = token_hashes(piece.column("text").to_pylist(), hashes)
             pairs, before = pair_hashes(tokens, n_tokens)
-            one = (counts_of(held, single_hashes(tokens)) + ADD) / denominator
-            context = counts_of(held, single_hashes(before))
-            both = np.minimum(counts_of(held, pairs), context)
+            one = (counts_of(word_filter, single_hashes(tokens)) + ADD) / denominator
+            short = single_hashes(before) & np.uint64(0xFFFFFFFF)
+            context = counts_of(mass_filter, short | mass_segment(short, buckets).astype(np.uint64) << np.uint64(32))
+            both = np.minimum(counts_of(pair_filter, pairs), context)
             log = np.log10((both + PRIOR * one) / (context + PRIOR))
             ends = np.concatenate([[0], np.cumsum(n_tokens)[:-1]])
             yield table(scored_schema, piece.column("doc_id"), piece.column("k1"), piece.column("k2"), n_tokens, np.add.reduceat(log, ends))

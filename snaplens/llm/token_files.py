@@ -34,7 +34,7 @@ from snaplens.llm.bpe import read_spec
 from snaplens.llm.common import bucket_count, mix, new_folder, pieces, plain, saved, table, text_bytes, worker_state
 
 SHARD_BYTES = 24 << 20  # of text
-FOOTER = struct.Struct("<6Q8s")
+FOOTER = "<6Q8s"
 MAGIC = b"TOKENS01"
 CACHED = 600_000  # chunks whose ids a worker remembers
 
@@ -157,7 +157,7 @@ class ShardReader:
         system, place = open_fs(path)
         self.file = system.open_input_file(place)
         size = self.file.size()
-        self.width, rows, self.no_key, keys, buckets, ids, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
+        self.width, rows, self.no_key, keys, buckets, ids, magic = struct.unpack(FOOTER, self.file.read_at(length := struct.calcsize(FOOTER), size - length))
         if magic != MAGIC:
             raise ValueError(f"{path} is no token shard")
         at = ids * self.width
@@ -210,7 +210,7 @@ def write_shard(path: str, width: int, keys: Iterator[tuple[list, list[bytes]]])
         starts = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8")
         for part in (starts, seeds.astype("<i4"), prints, firsts, counts):
             out.write(part.tobytes())
-        out.write(FOOTER.pack(width, len(held), no_key, len(different), len(seeds), int(starts[-1]), MAGIC))
+        out.write(struct.pack(FOOTER, width, len(held), no_key, len(different), len(seeds), int(starts[-1]), MAGIC))
     low, high = (int(different[0]), int(different[-1])) if len(different) else (None, None)
     return path, low, high, no_key, len(held), int(starts[-1])
 
