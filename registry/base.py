@@ -45,6 +45,11 @@ def tidy(df: DataFrame, **digits: int) -> DataFrame:
     ])
 
 
+def with_nan(events: DataFrame) -> DataFrame:
+    """Every seventh event's value becomes NaN."""
+    return events.withColumn("value", F.when(F.col("event_id") % 7 == 0, float("nan")).otherwise(F.col("value")))
+
+
 # Orders as snapshots of their customer; the market segment owns it.
 ORDERS_ROLES = Roles(
     id="o_custkey", snapshot="o_orderdate", stage="o_orderstatus", owner="c_mktsegment",

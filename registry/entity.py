@@ -16,6 +16,7 @@ from registry.base import (
     PARTS_SQL,
     days_sql,
     event_snapshots,
+    latest_sql,
     order_snapshots,
     part_snapshots,
     query,
@@ -35,6 +36,16 @@ def _(spark, folder):
     return latest_snapshot(order_snapshots(spark, folder), ORDERS_ROLES)
 
 
+@query(
+    "latest_snapshot_text_dates",
+    f"""SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%m/%d/%Y') AS o_orderdate FROM (
+    {latest_sql("SELECT o_orderkey, o_custkey, date_trunc('day', o_orderdate) AS o_orderdate FROM orders", "o_custkey", "o_orderdate", "o_orderkey")})""",
+)
+def _(spark, folder):
+    text = F.date_format("o_orderdate", "MM/dd/yyyy").alias("o_orderdate")
+    return latest_snapshot(table(spark, folder, "orders").select("o_orderkey", "o_custkey", text), ORDERS_ROLES)
+
+
 @query(
     "latest_snapshot_by_month",
     f"""SELECT * REPLACE (CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS o_orderdate) FROM ({ORDERS_SQL})

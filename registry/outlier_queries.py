@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.base import query, table, tidy
+from registry.base import query, table, tidy, with_nan
 from snaplens import OutlierSpec, exclude_outliers, exclusion_info, flag_outliers, outlier_stats
 
 DOC_SQL = """SELECT doc_id, n_chars, len(string_split(text, ' ')) AS n_words,
@@ -46,6 +46,20 @@ flagged_events("outlier_z", "z_score", "aggressive", z_test("value", 2.5))
 flagged_events("outlier_mad", "modified_z_score", "very_aggressive", mad_test("value", 2.0))
 
 
+def flagged_with_nan(name, method, sensitivity, test):
+    sql = "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events"
+
+    @query(name, f"WITH d AS ({sql}) SELECT event_id, coalesce({test}, false) AS is_outlier FROM d")
+    def _(spark, folder):
+        df = with_nan(table(spark, folder, "events").select("event_id", "value"))
+        return flag_outliers(df, OutlierSpec(["value"], method, sensitivity)).select("event_id", "is_outlier")
+
+
+flagged_with_nan("outlier_iqr_with_nan", "iqr", "moderate", fence("value", 2.0))
+flagged_with_nan("outlier_z_with_nan", "z_score", "aggressive", z_test("value", 2.5))
+flagged_with_nan("outlier_mad_with_nan", "modified_z_score", "very_aggressive", mad_test("value", 2.0))
+
+
 def combined(name, how, sql):
     @query(name, f"WITH d AS ({DOC_SQL}) SELECT * FROM d WHERE NOT ({sql})")
     def _(spark, folder):

@@ -20,6 +20,7 @@ from registry.base import (
     query,
     table,
     tidy,
+    with_nan,
 )
 from registry.profiling import ORDER_TYPES, stats_sql
 from snaplens import (
@@ -89,6 +90,14 @@ def _(spark, folder):
     return tidy(histogram(event_snapshots(spark, folder), EVENT_ROLES, "value", 20, upper_limit=120.0))
 
 
+NAN_EVENTS = f"SELECT * REPLACE (CASE WHEN event_id % 7 <> 0 THEN value END AS value) FROM ({LATEST_EVENTS})"
+
+
+@query("rpt_hist_nan", hist_sql(f"SELECT * FROM ({NAN_EVENTS}) WHERE value IS NOT NULL", "value", 20))
+def _(spark, folder):
+    return tidy(histogram(with_nan(event_snapshots(spark, folder)), EVENT_ROLES, "value", 20))
+
+
 @query(
     "rpt_hist_date",
     f"""WITH r AS (SELECT CAST(epoch(o_orderdate) AS DOUBLE) AS v FROM ({LATEST_ORDERS})),

@@ -14,6 +14,7 @@ from registry.base import (
     query,
     table,
     tidy,
+    with_nan,
 )
 from snaplens import (
     Analysis,
@@ -55,6 +56,31 @@ filtered(
     "filter_cat_include_number", "lineitem", [CategoricalFilter("l_linenumber", ["2", "05", "7"])],
     "SELECT * FROM lineitem WHERE CAST(l_linenumber AS VARCHAR) IN ('2', '05', '7')",
 )
+
+
+@query(
+    "filter_cat_double",
+    """SELECT * FROM (SELECT o_orderkey, floor(o_totalprice / 100000) * 1e7 AS size FROM orders)
+    WHERE size IN (10000000.0, 20000000.0)""",
+)
+def _(spark, folder):
+    size = (F.floor(F.col("o_totalprice") / 100000) * F.lit(1e7)).alias("size")
+    rows = table(spark, folder, "orders").select("o_orderkey", size)
+    return apply_filters(rows, [CategoricalFilter("size", ["10000000.0", "2.0E7", "no number"])])
+
+
+@query("filter_cat_bool", "SELECT * FROM (SELECT o_orderkey, o_totalprice > 150000 AS large FROM orders) WHERE large")
+def _(spark, folder):
+    rows = table(spark, folder, "orders").select("o_orderkey", (F.col("o_totalprice") > 150000).alias("large"))
+    return apply_filters(rows, [CategoricalFilter("large", ["True"])])
+
+
+@query("filter_num_nan", "SELECT event_id FROM events WHERE event_id % 7 <> 0 AND value > 100")
+def _(spark, folder):
+    rows = with_nan(table(spark, folder, "events").select("event_id", "value"))
+    return apply_filters(rows, [NumericFilter("value", "greater_than", low=100.0)]).select("event_id")
+
+
 filtered(
     "filter_cat_exclude", "orders", [CategoricalFilter("o_orderstatus", ["P"], "exclude")],
     f"{ORDERS} WHERE o_orderstatus IS NULL OR o_orderstatus NOT IN ('P')",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -19,7 +20,11 @@ from snaplens.roles import col
 
 @dataclass(frozen=True)
 class CategoricalFilter:
-    """Membership of the value's text; no selected value means no row, in both modes."""
+    """Membership; no selected value means no row, in both modes.
+
+    Values are texts. Fractional columns compare them as numbers and booleans as
+    truth values, so neither depends on how an engine writes ``1e7`` or ``true``.
+    """
 
     column: str
     values: Sequence[str]
@@ -41,12 +46,19 @@ class CategoricalFilter:
         if isinstance(kind, T.IntegralType):  # compare as numbers, so that it is pushed down
             numbers = [int(t) for t in texts if t.lstrip("-").isdigit() and str(int(t)) == t]
             return col(self.column).isin(*numbers) if numbers else F.lit(False)
+        if isinstance(kind, T.FractionalType):
+            numbers = [F.lit(t).cast(kind) for t in texts if _is_finite(t)]
+            return col(self.column).isin(*numbers) if numbers else F.lit(False)
+        if isinstance(kind, T.BooleanType):
+            truths = {"true": True, "false": False}
+            found = [truths[t.lower()] for t in texts if t.lower() in truths]
+            return col(self.column).isin(*found) if found else F.lit(False)
         return col(self.column).cast("string").isin(*texts)
 
 
 @dataclass(frozen=True)
 class NumericFilter:
-    """``range`` keeps both bounds, ``greater_than`` and ``less_than`` are strict."""
+    """``range`` keeps both bounds, ``greater_than`` and ``less_than`` are strict; NaN is missing."""
 
     column: str
     mode: str = "range"
@@ -55,7 +67,10 @@ class NumericFilter:
     active: bool = True
 
     def predicate(self, kind: T.DataType) -> Column | None:
-        return _compare(self.mode, ("greater_than", "less_than"), col(self.column), self.low, self.high, F.lit)
+        test = _compare(self.mode, ("greater_than", "less_than"), col(self.column), self.low, self.high, F.lit)
+        if test is None or not isinstance(kind, (T.DoubleType, T.FloatType)):
+            return test
+        return test & ~F.isnan(col(self.column))  # NaN sorts above all numbers; the bounds still reach the scan
 
 
 @dataclass(frozen=True)
@@ -117,6 +132,13 @@ class BooleanFilter:
 Filter = CategoricalFilter | NumericFilter | DateFilter | TextFilter | BooleanFilter
 
 
+def _is_finite(text: str) -> bool:
+    try:
+        return math.isfinite(float(text))
+    except ValueError:
+        return False
+
+
 def _compare(mode, strict, value, low, high, literal) -> Column | None:
     above, below = strict
     if mode == "range":

@@ -8,7 +8,7 @@ predicate is plain codegen and can reach the scan.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import add, and_, or_
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from snaplens.functions.numbers import ratio
 from snaplens.operators.isolation import isolation_score
 from snaplens.operators.quantiles import column_quantiles
-from snaplens.operators.semantics import is_number
+from snaplens.operators.semantics import blank_nan, is_number
 from snaplens.roles import col
 
 # Sensitivity presets per method, and the scale of the modified z-score.
@@ -57,7 +57,11 @@ class OutlierSpec:
 
 @dataclass(frozen=True)
 class Rule:
-    """What was learnt about one column. ``flag`` is None when the rule does not apply."""
+    """What was learnt about one column. ``flag`` is None when the rule does not apply.
+
+    ``has_nan``: the column held NaN when the rule was learnt. Only then is it tested
+    for, because that test keeps the predicate from reaching the scan.
+    """
 
     column: str
     lower: float | None = None
@@ -65,29 +69,37 @@ class Rule:
     center: float | None = None
     scale: float | None = None
     flag: Column | None = field(default=None, compare=False)
+    has_nan: bool = False
 
     def outlier(self) -> Column:
         """Never null, and in a form whose negation the scan can take."""
-        return F.lit(False) if self.flag is None else col(self.column).isNotNull() & self.flag
+        if self.flag is None:
+            return F.lit(False)
+        present = col(self.column).isNotNull()
+        return (present & ~F.isnan(col(self.column)) if self.has_nan else present) & self.flag
 
 
 def outlier_rules(df: DataFrame, spec: OutlierSpec) -> list[Rule]:
     """Learn one rule per column of ``spec``; a few numbers per column reach the driver.
 
-    Columns that are absent, not numeric or have under ten values get no rule.
+    Columns that are absent, not numeric or have under ten values get no rule. NaN is
+    a missing value: it takes no part in what is learnt and is never an outlier.
     """
     kinds = {f.name: f.dataType for f in df.schema}
     numeric = [c for c in dict.fromkeys(spec.columns) if c in kinds and is_number(kinds[c])]
     if not numeric:
         return [Rule(c) for c in spec.columns]
-    seen = df.agg(*[
+    raw, df = df, blank_nan(df)
+    seen = raw.agg(*[
         agg
         for i, c in enumerate(numeric)
+        for value in [F.when(~F.isnan(col(c)), col(c))]
         for agg in (
-            F.count(col(c)).alias(f"n{i}"),
-            F.avg(col(c)).alias(f"mean{i}"),
-            F.stddev_pop(col(c)).alias(f"pop{i}"),
-            F.when(F.count(col(c)) > 1, F.stddev_samp(col(c))).alias(f"samp{i}"),
+            F.count(value).alias(f"n{i}"),
+            F.avg(value).alias(f"mean{i}"),
+            F.stddev_pop(value).alias(f"pop{i}"),
+            F.when(F.count(value) > 1, F.stddev_samp(value)).alias(f"samp{i}"),
+            (F.count(col(c)) > F.count(value)).alias(f"nan{i}"),
         )
     ]).first()
     moments = {
@@ -99,7 +111,8 @@ def outlier_rules(df: DataFrame, spec: OutlierSpec) -> list[Rule]:
         "isolation_forest": _isolation_forest,
     }[spec.method]
     rules = learn(df, usable, moments, spec) if usable else {}
-    return [rules.get(c, Rule(c)) for c in spec.columns]
+    nan = {c: seen[f"nan{i}"] for i, c in enumerate(numeric)}
+    return [replace(rules[c], has_nan=nan[c]) if c in rules else Rule(c) for c in spec.columns]
 
 
 def _iqr(df, columns, moments, spec) -> dict[str, Rule]:
@@ -202,7 +215,10 @@ def outlier_stats(df: DataFrame, spec: OutlierSpec, rules: Sequence[Rule] | None
     rules = outlier_rules(df, spec) if rules is None else rules
     aggs, rows = [F.count(F.lit(1)).alias("n")], []
     for i, rule in enumerate(rules):
-        valid = F.count(col(rule.column)) if rule.column in df.columns else F.lit(0).cast("bigint")
+        valid = F.lit(0).cast("bigint")
+        if rule.column in df.columns:
+            value = col(rule.column)
+            valid = F.count(F.when(~F.isnan(value), value) if rule.has_nan else value)
         aggs += [valid.alias(f"valid{i}"), F.count_if(rule.outlier()).alias(f"outliers{i}")]
         rows.append(F.struct(
             F.lit(rule.column).alias("column"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from snaplens.functions.dates import days_between
 from snaplens.functions.numbers import kurt, ratio, skew, std
 from snaplens.operators.quantiles import long_quantiles
-from snaplens.operators.semantics import Semantic
+from snaplens.operators.semantics import Semantic, blank_nan
 from snaplens.roles import Roles, col
 
 GROUP = "group"
@@ -30,8 +30,9 @@ def column_stats(
     """One row per column (and group): counts for all, the rest by semantic type.
 
     Moments, dates and lengths come from one pass; frequencies and quantiles from
-    one pre-aggregated pass each. Rows without a group value drop out.
+    one pre-aggregated pass each. Rows without a group value drop out. NaN is missing.
     """
+    df = blank_nan(df)
     columns = [c for c in df.columns if c in types and c != group]
     if not columns:
         raise ValueError("no column to describe")

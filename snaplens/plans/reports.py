@@ -136,6 +136,7 @@ def histogram(
         rows = rows.withColumn("above_limit", F.lit(False))
     if numeric:
         value = col(x).cast("double")
+        rows = rows.filter(~F.isnan(value))  # NaN is missing
     else:
         value = epoch_seconds(col(x).cast("timestamp_ntz"))
     rows = stabilise(rows.select(*keys, value.alias("v"), "above_limit"))  # read twice

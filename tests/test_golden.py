@@ -135,3 +135,9 @@ def test_column_stats_shape(golden):
     assert stats["Stage"]["mode"] in ("Budget", "Lead") and stats["Stage"]["mode_count"] == 4
     assert stats["Stage"]["mode"] == "Budget"  # ties go to the smaller value
     assert stats["Snapshot Date"]["range_days"] == 45
+
+
+def test_latest_of_dates_written_as_text(spark, roles):
+    rows = [("a", "12/31/2023", 1), ("a", "01/15/2024", 2), ("b", "no date", 3), ("c", "2024-02-01", 4), ("c", "01/31/2024", 5)]
+    df = spark.createDataFrame(rows, "`Id` string, `Snapshot Date` string, n int")
+    assert by_key(latest_snapshot(df, roles), "Id", "n") == {"a": 2, "c": 4}

@@ -119,3 +119,13 @@ def test_exclusion_reaches_the_scan(spark, df, tmp_path):
     kept = exclude_outliers(spark.read.parquet(str(tmp_path / "t")), OutlierSpec(["a"]))
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "Or(IsNull(a),And(GreaterThanOrEqual(a," in plan
+
+
+@pytest.mark.parametrize("method", ["iqr", "z_score", "modified_z_score", "isolation_forest"])
+def test_nan_is_missing(spark, method):
+    rows = [(float(i),) for i in range(50)] + [(float("nan"),), (None,)]
+    df = spark.createDataFrame(rows, "v double")
+    flagged = flag_outliers(df, OutlierSpec(["v"], method)).filter("is_outlier").collect()
+    assert not any(r["v"] is None or r["v"] != r["v"] for r in flagged) and len(flagged) <= 10
+    stats = outlier_stats(df, OutlierSpec(["v"], method)).first()
+    assert stats["n"] == 52 and stats["valid"] == 50

@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -36,7 +37,8 @@ def canonical(rows, columns):
 
 
 def test_only_the_forest_lacks_sql():
-    assert set(QUERIES) - set(SQL) == {"outlier_iforest"} and set(SQL) <= set(QUERIES)
+    own = {name for name in QUERIES if name != "pipeline" and not re.match(r"op\d+_", name)}
+    assert own - set(SQL) == {"outlier_iforest"} and set(SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
