@@ -61,10 +61,14 @@ ORDERS_SQL = "SELECT o.*, c.c_mktsegment FROM orders o LEFT JOIN customer c ON o
 def order_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """The lookup leaves the rows unpartitioned by customer when one of them is hot, so the
     reductions that follow can still limit map-side."""
+    return with_segment(spark, folder, table(spark, folder, "orders"))
+
+
+def with_segment(spark: SparkSession, folder: str, orders: DataFrame) -> DataFrame:
     owner = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("o_custkey"), "c_mktsegment"
     )
-    return lookup_join(table(spark, folder, "orders"), owner, ["o_custkey"])
+    return lookup_join(orders, owner, ["o_custkey"])
 
 
 # Events as snapshots of their user; the key inside ``props`` owns the event.
@@ -95,13 +99,13 @@ PART_ROLES = Roles(
 )
 PARTS_SQL = (
     "SELECT l.l_partkey, l.l_shipdate, l.l_returnflag, l.l_suppkey, l.l_orderkey, l.l_linenumber, "
-    "l.l_extendedprice, l.l_quantity, o.o_orderdate FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey"
+    "l.l_extendedprice, l.l_quantity, o.o_orderdate FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey"
 )
 
 
 def part_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     created = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
-    return table(spark, folder, "lineitem").join(created, "l_orderkey").select(
+    return table(spark, folder, "lineitem").join(created, "l_orderkey", "left").select(
         "l_partkey", "l_shipdate", "l_returnflag", "l_suppkey", "l_orderkey", "l_linenumber",
         "l_extendedprice", "l_quantity", "o_orderdate",
     )

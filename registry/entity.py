@@ -22,6 +22,7 @@ from registry.base import (
     query,
     table,
     tidy,
+    with_segment,
 )
 from snaplens import add_features, first_snapshot, latest_per_period, latest_snapshot, register_feature
 from snaplens.operators.skew import lookup_join
@@ -33,7 +34,8 @@ LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extended
 
 @query("latest_snapshot", LATEST_ORDERS)
 def _(spark, folder):
-    return latest_snapshot(order_snapshots(spark, folder), ORDERS_ROLES)
+    # Reduced first: the segment is looked up for one row per customer.
+    return with_segment(spark, folder, latest_snapshot(table(spark, folder, "orders"), ORDERS_ROLES))
 
 
 @query(
