@@ -1,41 +1,36 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-One pass over the corpus counts words and word pairs. Pair and word counts are
-quantised on a log scale and put into a Bloom filter in segments, each as large as its
-entries need; an n-gram of level l is entered once for every level up to l, and a
-reader probes level after level until one is missing. The filter is broadcast after
-its size is checked. Probabilities smooth the pair counts with the word counts; what
-the stored pairs of a word add up to is kept in the filter as well, so that pairs too
-rare to be stored leave their share to the word model.
-
-Exact word counts, for the base score, stay distributed: the words of a piece of
-corpus travel to the bucket of their hash together with the texts that use them, and
-the bucket sends back one partial sum per text.
+The corpus is dealt into pieces by the hash of each row. A piece counts its words and
+word pairs and asks for each different one once, however often it holds it, so a very
+common word costs one entry a piece. Counts meet in the segment of their hash. A
+segment adds them up, quantises them on a log scale and puts them into its part of the
+Bloom filter: an n-gram of level l is entered once for every level up to l, and a
+reader probes level after level until one is missing. The whole filter grows with the
+corpus, so it is not broadcast: each segment answers the probes of all pieces, with one
+byte for each n-gram. The pieces then score their texts; probabilities smooth the pair
+counts with the word counts. Exact word counts, for the base score, come back the same
+way.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaplens.llm.common import WordHashes, bucket_count, mix, pieces, plain, saved, signed, table, text_bytes, words
+from snaplens.llm.common import WordHashes, bucket_count, mix, plain, saved, table, text_bytes, words
 
 STEP = 2**0.5  # ratio of neighbouring count levels
 PROBES = 4  # bits per entry
 BITS_PER_ENTRY = 10
-LEAST_PAIR = 2  # pairs seen less often are not stored
 PRIOR = 32.0  # weight of the word model against the pair counts
 ADD = 0.1  # pseudo-count of a word
-PIECE = 16 << 20  # bytes of text counted together
-BUCKET_BYTES = 64 << 20  # of text for each bucket of words and each filter segment
-FILTER_LIMIT = 256 << 20  # bytes of the broadcast filter; above it LEAST_PAIR must be raised
+PIECE = 8 << 20  # bytes of text counted together
+SEGMENT_BYTES = 32 << 20  # of text for each segment of the filter
 END = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty
-START = mix(np.array([END]) + np.uint64(1))[0]
+WORDS, PAIRS = 0, 1
 
 
 def token_hashes(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -48,18 +43,6 @@ def token_hashes(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarra
     return np.concatenate(parts), np.array(sizes)
 
 
-def pair_hashes(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token: the hash of (token before, token), and the token before."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = START
-    return mix(mix(before) + tokens * np.uint64(0x9E3779B97F4A7C15)), before
-
-
-def single_hashes(tokens: np.ndarray) -> np.ndarray:
-    return mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-
-
 def levels(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(STEP) + 1e-9).astype(np.int64)
 
@@ -69,152 +52,114 @@ def level_value(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.maximum(1.0, STEP ** (level - 0.75)), 0.0)
 
 
-def _bits(short: np.ndarray, level: int, probe: int) -> np.ndarray:
-    return mix(short.astype(np.uint64) + np.uint64((level << 40) ^ (probe + 1) * 0x1B54A32D192ED03))
+def _bits(grams: np.ndarray, level: int, probe: int) -> np.ndarray:
+    return mix(grams + np.uint64((level << 40) ^ (probe + 1) * 0x1B54A32D192ED03))
 
 
-def filter_segment(short: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The bits of one segment, holding each n-gram once per level."""
+def filter_segment(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bits of one segment, holding each n-gram once per level of its (positive) count."""
     top = levels(counts)
-    entries = int(top.sum())
-    size = 1 << max(6, int(np.ceil(np.log2(max(1, entries * BITS_PER_ENTRY)))))
+    size = 1 << max(6, int(np.ceil(np.log2(max(1, int(top.sum()) * BITS_PER_ENTRY)))))
     bits = np.zeros(size, bool)
     for level in range(1, int(top.max(initial=0)) + 1):
-        held = short[top >= level]
+        held = grams[top >= level]
         for probe in range(PROBES):
             bits[_bits(held, level, probe) & np.uint64(size - 1)] = True
-    return np.packbits(bits)
-
-
-@dataclass(frozen=True)
-class CountFilter:
-    """Quantised n-gram counts of the whole corpus; ``starts`` and ``sizes`` are in bits."""
-
-    data: np.ndarray
-    starts: np.ndarray
-    sizes: np.ndarray
-
-    def count(self, grams: np.ndarray) -> np.ndarray:
-        """Count of each n-gram hash, read by probing one level after the other."""
-        segment = (grams >> np.uint64(32)) % np.uint64(len(self.starts))
-        segment = segment.astype(np.int64)
-        short = grams & np.uint64(0xFFFFFFFF)
-        level = np.zeros(len(grams), np.int64)
-        alive = np.flatnonzero(self.sizes[segment] > 0)
-        now = 0
-        while len(alive):
-            now += 1
-            start, mask = self.starts[segment[alive]], (self.sizes[segment[alive]] - 1).astype(np.uint64)
-            for probe in range(PROBES):
-                at = start + (_bits(short[alive], now, probe) & mask).astype(np.int64)
-                hit = (self.data[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-                alive, start, mask = alive[hit == 1], start[hit == 1], mask[hit == 1]
-            level[alive] = now
-        return level_value(level)
-
-
-STATS = "kind int, part int, k1 long, k2 long, base double, known long, tokens long, vocabulary long, bits binary, hashes binary, counts binary"
-_ROWS = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("k1", pa.binary()),
-                   ("k2", pa.binary()), ("ends", pa.binary()), ("word", pa.binary()), ("times", pa.binary())])
-_ROWS_DDL = "kind int, part int, hashes binary, counts binary, k1 binary, k2 binary, ends binary, word binary, times binary"
-_OUT = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("base", pa.float64()),
-                  ("known", pa.int64()), ("tokens", pa.int64()), ("vocabulary", pa.int64()), ("bits", pa.binary()),
-                  ("hashes", pa.binary()), ("counts", pa.binary())])
-
-
-def _piece_rows(texts, k1, k2, train, hashes, buckets):
-    """What one piece sends on: kind 0, words by bucket with the texts using them; kinds 1 and 2, counts of pairs and of single words by segment."""
-    tokens, sizes = token_hashes(texts, hashes)
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    learn = train[doc]
-    distinct, word = np.unique(tokens, return_inverse=True)
-    counts = np.bincount(word[learn], minlength=len(distinct)).astype("<i8")
-    pair, times = np.unique(doc.astype(np.int64) * len(distinct) + word, return_counts=True)
-    pair_doc, pair_word = pair // len(distinct), pair % len(distinct)
-    bucket = (distinct % np.uint64(buckets)).astype(np.int64)
-    for b in range(buckets):
-        mine = np.flatnonzero(bucket == b)
-        if not len(mine):
-            continue
-        here = bucket[pair_word] == b
-        docs, position = np.unique(pair_doc[here], return_inverse=True)
-        ends = np.cumsum(np.bincount(position)).astype("<i4")
-        local = np.searchsorted(mine, pair_word[here])
-        yield (0, b, distinct[mine].tobytes(), counts[mine].tobytes(), k1[docs].tobytes(), k2[docs].tobytes(), ends.tobytes(),
-               local.astype("<i4").tobytes(), times[here].astype("<i4").tobytes())
-    pairs, before = pair_hashes(tokens, sizes)
-    grams, at, n = np.unique(pairs[learn], return_index=True, return_counts=True)
-    yield from _gram_rows(1, grams, n, single_hashes(before[learn][at]), buckets)
-    grams, n = np.unique(single_hashes(tokens[learn]), return_counts=True)
-    yield from _gram_rows(2, grams, n, None, buckets)
-
-
-def _gram_rows(kind, grams, n, context, buckets):
-    """Counts of n-grams by segment; a count above 255 is sent in several entries."""
-    segment = ((grams >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    for s in range(buckets):
-        mine = np.flatnonzero(segment == s)
-        if len(mine):
-            times = -(-n[mine] // 255)
-            mine = np.repeat(mine, times)
-            last = np.cumsum(times) - 1
-            count = np.full(len(mine), 255, np.uint8)
-            count[last] = n[mine[last]] - 255 * (times - 1)
-            short = (grams[mine] & np.uint64(0xFFFFFFFF)).astype("<u4")
-            if context is None:
-                yield (kind, s, short.tobytes(), count.tobytes(), *[b""] * 5)
-                continue
-            of = (context[mine] & np.uint64(0xFFFFFFFF)).astype("<u4")
-            order = np.argsort(of, kind="stable")
-            words_, runs = np.unique(of, return_counts=True)
-            yield (kind, s, short[order].tobytes(), count[order].tobytes(), words_.tobytes(), b"", runs.astype("<u4").tobytes(), b"", b"")
-
-
-def _word_bucket(rows: pa.Table, part: int) -> pa.RecordBatch:
-    """Exact counts of the bucket's words, and from them one partial sum for each different text."""
-    read = lambda name, kind: [np.frombuffer(x, kind) for x in rows.column(name).to_pylist()]
-    hashes, counts = read("hashes", np.uint64), read("counts", "<i8")
-    distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
-    value = np.log10(total + ADD)
-    starts = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
-    found = []
-    for i, (a, b, ends, word, times) in enumerate(zip(*(read(n, k) for n, k in (("k1", "<i8"), ("k2", "<i8"), ("ends", "<i4"), ("word", "<i4"), ("times", "<i4"))))):
-        which = at[starts[i] : starts[i + 1]][word]
-        begins = np.concatenate([[0], ends[:-1]])
-        base = np.add.reduceat(value[which] * times, begins)
-        known = np.add.reduceat(np.where(total[which] > 0, times, 0), begins)
-        found.append((a, b, base, known))
-    k1, k2, base, known = (np.concatenate(x) for x in zip(*found))
-    _, once = np.unique(np.stack([k1, k2]), axis=1, return_index=True)  # copies have the same sum
-    n = len(once)
-    return table(_OUT, [0] * n + [2], [part] * (n + 1), [*k1[once].tolist(), None], [*k2[once].tolist(), None], [*base[once].tolist(), None],
-                 [*known[once].tolist(), None], [None] * n + [int(total.sum())], [None] * n + [int((total > 0).sum())], *[[None] * (n + 1)] * 3)
-
-
-def _segment(rows: pa.Table, kind: int, part: int, buckets: int) -> pa.RecordBatch:
-    """The filter segment of some n-grams; for pairs also what each word's stored pairs add up to."""
-    read = lambda name, of: np.concatenate([np.frombuffer(x, of) for x in rows.column(name).to_pylist()])
-    short = read("hashes", "<u4").astype(np.uint64)
-    if kind == 1:
-        short |= np.repeat(read("k1", "<u4"), read("ends", "<u4")).astype(np.uint64) << np.uint64(32)
-    distinct, at = np.unique(short, return_inverse=True)
-    total = np.bincount(at, weights=read("counts", np.uint8 if kind < 3 else "<i8")).astype(np.int64)
-    if kind == 1:
-        distinct, total = distinct[total >= LEAST_PAIR], total[total >= LEAST_PAIR]
-    low = distinct & np.uint64(0xFFFFFFFF)
-    out = [(kind, part, None, None, filter_segment(low, total).tobytes() if len(low) else b"")]
-    if kind == 1 and len(low):
-        of, at = np.unique(distinct >> np.uint64(32), return_inverse=True)
-        sums, to = np.bincount(at, weights=total).astype("<i8"), mass_segment(of, buckets)
-        out += [(3, s, of[to == s].astype("<u4").tobytes(), sums[to == s].tobytes(), None) for s in np.unique(to).tolist()]
-    n = len(out)
-    kinds, parts, hashes, counts, bits = map(list, zip(*out))
-    return table(_OUT, kinds, parts, *[[None] * n] * 6, bits, hashes, counts)
-
-
-def mass_segment(short: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(short) % np.uint64(buckets)).astype(np.int64)
+    return bits
+
+
+def probed_levels(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Level of each n-gram, read by probing one level after the other."""
+    level, mask = np.zeros(len(grams), np.uint8), np.uint64(len(bits) - 1)
+    alive, now = np.arange(len(grams)), 0
+    while len(alive):
+        now += 1
+        for probe in range(PROBES):
+            alive = alive[bits[_bits(grams[alive], now, probe) & mask]]
+        level[alive] = now
+    return level
+
+
+class Piece:
+    """The different words and pairs of some texts, in an order that a second reading finds again."""
+
+    def __init__(self, texts: list[str | None], segments: int):
+        tokens, self.sizes = token_hashes(texts, WordHashes())
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        words_, self.word = np.unique(tokens, return_inverse=True)
+        before = np.empty_like(self.word)
+        before[1:] = self.word[:-1]
+        before[self.starts] = np.searchsorted(words_, END)  # a text follows an end
+        self.before = before
+        pairs, self.pair = np.unique(mix(mix(words_)[before] + tokens * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True)
+        self.grams = {WORDS: words_, PAIRS: pairs}
+        self.number = {WORDS: self.word, PAIRS: self.pair}
+        self.by_segment = {kind: self._dealt(g, segments) for kind, g in self.grams.items()}
+
+    @staticmethod
+    def _dealt(grams: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segments that hold some of the n-grams, the n-grams' order by segment, and where each begins."""
+        segment = ((grams >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
+        order = np.argsort(segment, kind="stable")
+        found, begins = np.unique(segment[order], return_index=True)
+        return found, order, begins
+
+    def questions(self, train: np.ndarray):
+        """Rows kind, segment, n-grams, counts in training texts."""
+        learn = np.repeat(train, self.sizes)
+        for kind, grams in self.grams.items():
+            counts = np.bincount(self.number[kind][learn], minlength=len(grams)).astype("<u4")
+            segment, order, begins = self.by_segment[kind]
+            for s, mine in zip(segment.tolist(), np.split(order, begins[1:])):
+                # A segment's pairs are told apart by the lower half of their hash.
+                sent = grams[mine] if kind == WORDS else (grams[mine] & np.uint64(0xFFFFFFFF)).astype("<u4")
+                yield kind, s, sent.tobytes(), counts[mine].tobytes()
+
+    def in_place(self, kind: int, answers: np.ndarray) -> np.ndarray:
+        """Answers in the order of segments, put where their n-grams stand."""
+        out = np.empty(len(answers), answers.dtype)
+        out[self.by_segment[kind][1]] = answers
+        return out
+
+
+QUESTIONS = "kind int, part int, piece long, grams binary, counts binary"
+_QUESTIONS = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("piece", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+ANSWERS = "kind int, part int, piece long, levels binary, totals binary, tokens long, vocabulary long"
+_ANSWERS = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("piece", pa.int64()), ("levels", pa.binary()), ("totals", pa.binary()),
+                      ("tokens", pa.int64()), ("vocabulary", pa.int64())])
+SCORES = "doc_id long, n_tokens long, n_known long, base double, score double"
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+
+
+def answer_segment(kind: int, part: int, rows: pa.Table) -> pa.Table:
+    """Build one segment of the filter and answer every piece's questions from it."""
+    asked = [np.frombuffer(x, "<u8" if kind == WORDS else "<u4") for x in rows.column("grams").to_pylist()]
+    counts = [np.frombuffer(x, "<u4") for x in rows.column("counts").to_pylist()]
+    different, at = np.unique(np.concatenate(asked), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate(counts)).astype("<i8")
+    grams = mix(different.astype(np.uint64) + np.uint64(kind))
+    seen = total > 0
+    level = probed_levels(filter_segment(grams[seen], total[seen]), grams)
+    ends = np.cumsum([len(a) for a in asked])[:-1]
+    numbers = np.split(at, ends)
+    n = len(asked)
+    exact = [total[i].tobytes() for i in numbers] if kind == WORDS else [None] * n
+    stats = [int(total.sum()), int(seen.sum())] if kind == WORDS else [0, 0]
+    first = [[x] + [0] * (n - 1) for x in stats]
+    return pa.Table.from_batches([table(_ANSWERS, [kind] * n, [part] * n, rows.column("piece").to_pylist(), [level[i].tobytes() for i in numbers], exact, *first)])
+
+
+def score_piece(piece: Piece, level: dict[int, np.ndarray], total: np.ndarray, denominator: float):
+    """Known tokens, base sum (without the denominator) and model score of each text."""
+    held = level_value(np.arange(256))
+    word, pair = held[level[WORDS]], held[level[PAIRS]]
+    one = np.minimum((word + ADD) / denominator, 1.0)[piece.word]
+    context = word[piece.before]
+    both = np.minimum(pair[piece.pair], context)
+    log = np.log10((both + PRIOR * one) / (context + PRIOR))
+    known = np.add.reduceat((total > 0)[piece.word].astype(np.int64), piece.starts)
+    base = np.add.reduceat(np.log10(total + ADD)[piece.word], piece.starts)
+    return known, base, np.add.reduceat(log, piece.starts)
 
 
 def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -224,78 +169,48 @@ def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     learns from the rows where ``train`` holds, each as often as it occurs. A null text
     counts as empty: only the end is scored. Without training rows all counts are 0.
     ``score`` is the base-10 logarithm of the model's probability of the text. Null and
-    repeated ids are rows like any other; other columns are not read.
+    repeated ids are rows like any other; other columns are not read. Two numbers reach
+    the driver. A task holds one piece or one segment; the longest text is the only
+    other thing that its size depends on.
     """
-    spark = docs.sparkSession
+    size = text_bytes(docs, text) + 64 * docs.count()
+    pieces, segments = bucket_count(size, PIECE), bucket_count(size, SEGMENT_BYTES)
     whole = F.coalesce(plain(text), F.lit(""))
-    base = docs.select(plain(doc_id).alias("doc_id"), F.xxhash64(whole).alias("k1"), F.xxhash64(whole, F.lit(1)).alias("k2"), train.alias("train"), whole.alias("text"))
-    buckets = bucket_count(text_bytes(docs, text), BUCKET_BYTES)
-
-    def count(batches):
-        hashes = WordHashes()
-        for some in gathered(batches, PIECE):
-            k1, k2 = (some.column(n).to_numpy().astype("<i8") for n in ("k1", "k2"))
-            flags = some.column("train").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
-            for row in _piece_rows(some.column("text").to_pylist(), k1, k2, flags, hashes, buckets):
-                yield table(_ROWS, *[[x] for x in row])
-
-    def reduce(key, rows):
-        kind, part = key[0].as_py(), key[1].as_py()
-        return pa.Table.from_batches([_word_bucket(rows, part) if kind == 0 else _segment(rows, kind, part, buckets)])
-
-    learned = base.select("k1", "k2", "train", "text").mapInArrow(count, _ROWS_DDL)
-    stats = saved(learned.groupBy("kind", "part").applyInArrow(reduce, STATS), "stats")
-    n, v = stats.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
-    masses = stats.filter("kind = 3").select("kind", "part", "hashes", "counts").groupBy("kind", "part").applyInArrow(reduce, STATS)
-    segments = saved(stats.filter("kind in (1, 2)").unionByName(masses).filter("length(bits) > 0").select("kind", "part", "bits"), "filter")
-    size = segments.agg(F.sum(F.length("bits"))).first()[0] or 0
-    if size > FILTER_LIMIT:
-        raise ValueError(f"the count filter takes {size} bytes, above the limit of {FILTER_LIMIT}; raise LEAST_PAIR")
-    found = {(r["kind"], r["part"]): bytes(r["bits"]) for r in segments.collect()}
-    parts = [found.get((kind, i), b"") for kind in (1, 2, 3) for i in range(buckets)]
-    sizes = np.array([len(p) * 8 for p in parts], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    shipped = spark.sparkContext.broadcast((b"".join(parts), starts, sizes))
+    placed = docs.select(
+        F.pmod(F.xxhash64(plain(doc_id), whole), F.lit(pieces)).alias("piece"), plain(doc_id).cast("long").alias("doc_id"),
+        F.coalesce(train, F.lit(False)).alias("train"), whole.alias("text"))
+
+    def ask(key, rows):
+        piece = Piece(rows.column("text").to_pylist(), segments)
+        flags = rows.column("train").to_numpy().astype(bool)
+        kind, part, grams, counts = zip(*piece.questions(flags))
+        return pa.Table.from_batches([table(_QUESTIONS, kind, part, [key[0].as_py()] * len(kind), grams, counts)])
+
+    def answer(key, rows):
+        return answer_segment(key[0].as_py(), key[1].as_py(), rows)
+
+    asked = placed.groupBy("piece").applyInArrow(ask, QUESTIONS)
+    answers = saved(asked.groupBy("kind", "part").applyInArrow(answer, ANSWERS), "answers")
+    n, v = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
     denominator = n + ADD * (v + 1)
 
-    def score(batches):
-        raw, starts, sizes = shipped.value
-        hashes, data = WordHashes(), np.frombuffer(raw, np.uint8)
-        pair_filter, word_filter, mass_filter = (
-            CountFilter(data, starts[i * buckets : (i + 1) * buckets], sizes[i * buckets : (i + 1) * buckets]) for i in range(3))
-        for piece in gathered(batches, PIECE // 2):
-            tokens, n_tokens = token_hashes(piece.column("text").to_pylist(), hashes)
-            pairs, before = pair_hashes(tokens, n_tokens)
-            one = (counts_of(word_filter, single_hashes(tokens)) + ADD) / denominator
-            short = single_hashes(before) & np.uint64(0xFFFFFFFF)
-            context = counts_of(mass_filter, short | mass_segment(short, buckets).astype(np.uint64) << np.uint64(32))
-            both = np.minimum(counts_of(pair_filter, pairs), context)
-            log = np.log10((both + PRIOR * one) / (context + PRIOR))
-            ends = np.concatenate([[0], np.cumsum(n_tokens)[:-1]])
-            yield table(scored_schema, piece.column("doc_id"), piece.column("k1"), piece.column("k2"), n_tokens, np.add.reduceat(log, ends))
-
-    scored_schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
-    scored = base.select("doc_id", "k1", "k2", "text").mapInArrow(score, "doc_id long, k1 long, k2 long, n_tokens long, score double")
-    sums = stats.filter("kind = 0").groupBy("k1", "k2").agg(F.sum("base").alias("base"), F.sum("known").alias("n_known"))
-    return scored.join(sums, ["k1", "k2"], "left").select(
-        "doc_id", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * float(np.log10(denominator))).alias("base_score"), "score",
-    )
-
+    def score(rows, found):
+        piece = Piece(rows.column("text").to_pylist(), segments)
+        kind, part = found.column("kind").to_numpy(), found.column("part").to_numpy()
 
-def counts_of(held: CountFilter, grams: np.ndarray) -> np.ndarray:
-    distinct, at = np.unique(grams, return_inverse=True)
-    return held.count(distinct)[at]
+        def read(of, name, dtype):
+            column = found.column(name).to_pylist()
+            mine = np.flatnonzero(kind == of)
+            raw = b"".join(column[i] for i in mine[np.argsort(part[mine])])
+            return piece.in_place(of, np.frombuffer(raw, dtype))
 
+        level = {of: read(of, "levels", np.uint8) for of in (WORDS, PAIRS)}
+        known, base, log = score_piece(piece, level, read(WORDS, "totals", "<i8"), denominator)
+        return pa.Table.from_batches([table(_SCORES, rows.column("doc_id").to_pylist(), piece.sizes, known, base, log)])
 
-def gathered(batches, size: int):
-    """Pieces of about ``size`` bytes of text, put together from small batches."""
-    held, total = [], 0
-    for piece in pieces(batches, size, 1 << 30):
-        held.append(piece)
-        total += piece.column(piece.num_columns - 1).nbytes + 64 * piece.num_rows
-        if total >= size:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, total = [], 0
-    if held and total:
-        yield pa.Table.from_batches(held).combine_chunks()
+    back = answers.select("piece", "kind", "part", "levels", "totals")
+    scored = placed.select("piece", "doc_id", "text").groupBy("piece").cogroup(back.groupBy("piece")).applyInArrow(score, SCORES)
+    return scored.select(
+        "doc_id", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * float(np.log10(denominator))).alias("base_score"), "score",
+    )
