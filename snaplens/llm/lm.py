@@ -80,6 +80,20 @@ def probed_levels(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return level
 
 
+def steps(grams: np.ndarray) -> bytes:
+    """The lower halves of pair hashes, which tell a segment's pairs apart, in ascending order.
+
+    Written as differences, all lowest bytes first: the high bytes are nearly all zero.
+    """
+    low = (grams & np.uint64(0xFFFFFFFF)).astype("<u4")
+    return np.diff(low, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_steps(raw: bytes) -> np.ndarray:
+    moved = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(moved, dtype=np.uint32)
+
+
 class Piece:
     """The different words and pairs of some texts, in an order that a second reading finds again."""
 
@@ -100,7 +114,7 @@ class Piece:
     def _dealt(grams: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Segments that hold some of the n-grams, the n-grams' order by segment, and where each begins."""
         segment = ((grams >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
-        order = np.argsort(segment, kind="stable")
+        order = np.lexsort((grams & np.uint64(0xFFFFFFFF), segment))
         found, begins = np.unique(segment[order], return_index=True)
         return found, order, begins
 
@@ -111,9 +125,7 @@ class Piece:
             counts = np.bincount(self.number[kind][learn], minlength=len(grams)).astype("<u4")
             segment, order, begins = self.by_segment[kind]
             for s, mine in zip(segment.tolist(), np.split(order, begins[1:])):
-                # A segment's pairs are told apart by the lower half of their hash.
-                sent = grams[mine] if kind == WORDS else (grams[mine] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                yield kind, s, sent.tobytes(), counts[mine].tobytes()
+                yield kind, s, grams[mine].tobytes() if kind == WORDS else steps(grams[mine]), counts[mine].tobytes()
 
     def in_place(self, kind: int, answers: np.ndarray) -> np.ndarray:
         """Answers in the order of segments, put where their n-grams stand."""
@@ -133,7 +145,7 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known
 
 def answer_segment(kind: int, part: int, rows: pa.Table) -> pa.Table:
     """Build one segment of the filter and answer every piece's questions from it."""
-    asked = [np.frombuffer(x, "<u8" if kind == WORDS else "<u4") for x in rows.column("grams").to_pylist()]
+    asked = [np.frombuffer(x, "<u8") if kind == WORDS else from_steps(x) for x in rows.column("grams").to_pylist()]
     counts = [np.frombuffer(x, "<u4") for x in rows.column("counts").to_pylist()]
     different, at = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts)).astype("<i8")

@@ -19,7 +19,7 @@ from snaplens.llm.embedding_dedup import cosine_components
 from snaplens.llm.jaccard import band_keys, differing, jaccard_components
 from snaplens.llm.langid import fit, identify
 from snaplens.llm.line_templates import line_dedup
-from snaplens.llm.lm import lm_scores
+from snaplens.llm.lm import filter_segment, from_steps, levels, lm_scores, probed_levels, steps
 from snaplens.llm.mixing import mix, plan_mix, split_quotas, targets
 from snaplens.llm.sharding import shard_by_size
 from snaplens.llm.token_files import ShardReader, read_tokens, write_tokens
@@ -370,6 +370,20 @@ def test_model_beats_the_base_on_held_out_texts(spark, sf):
     assert all(r["score"] <= 0 for r in got)
 
 
+def test_filter_segment_gives_every_level_back():
+    rng = np.random.default_rng(4)
+    grams = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
+    counts = rng.integers(1, 5000, len(grams))
+    got = probed_levels(filter_segment(grams, counts), grams)
+    assert (got >= levels(counts)).all() and (got == levels(counts)).mean() > 0.95
+    others = probed_levels(filter_segment(grams, counts), rng.integers(1 << 63, 1 << 64, 4000, dtype=np.uint64))
+    assert (others == 0).mean() > 0.95
+    nothing = np.zeros(0, np.uint64)
+    assert (probed_levels(filter_segment(nothing, np.zeros(0, np.int64)), grams) == 0).all()
+    low = np.unique(rng.integers(0, 1 << 32, 1000, dtype=np.uint64))
+    assert (from_steps(steps(low)) == low).all() and len(from_steps(steps(nothing))) == 0
+
+
 def test_lm_without_rows_or_training(spark, odd, none):
     assert lm_scores(none, F.lit(True)).count() == 0
     got = lm_scores(odd, F.lit(False)).collect()
