@@ -134,7 +134,26 @@ def _(spark, folder):
     return tidy(exclusion_info(measured_documents(spark, folder), spec))
 
 
-@query("outlier_iforest")
-def _(spark, folder):
+def forest_flags(spark, folder):
     df = table(spark, folder, "events").select("event_id", "value")
     return flag_outliers(df, OutlierSpec(["value"], "isolation_forest", "moderate", row_key=["event_id"]))
+
+
+query("outlier_iforest")(forest_flags)
+
+
+@query(
+    "outlier_iforest_check",
+    """SELECT count(*) AS n, count(value) AS valid, true AS share_holds, true AS maximum_flagged,
+    CAST(0 AS BIGINT) AS missing_flagged FROM events""",
+)
+def _(spark, folder):
+    """The forest is random, so SQL states what must hold: no row lost, at most the contamination flagged, the extreme among them."""
+    flagged = F.count_if("is_outlier")
+    return forest_flags(spark, folder).agg(
+        F.count("*").alias("n"),
+        F.count("value").alias("valid"),
+        ((flagged > 0) & (flagged <= 0.10 * F.count("value"))).alias("share_holds"),
+        F.max_by("is_outlier", "value").alias("maximum_flagged"),
+        F.count_if(F.col("is_outlier") & F.col("value").isNull()).alias("missing_flagged"),
+    )

@@ -162,7 +162,8 @@ def filter_options(df: DataFrame, types: Mapping[str, Semantic]) -> DataFrame:
     """What each column can be filtered by.
 
     One row per distinct value of a category (``option``), one row for any other
-    column: numeric bounds and quartiles, or first and last day.
+    column: numeric bounds and quartiles, or first and last day. Rows are ordered by
+    column, then option.
     """
     columns = [c for c in df.columns if c in types]
     of = {kind: [c for c in columns if types[c] is kind] for kind in Semantic}
@@ -209,7 +210,7 @@ def filter_options(df: DataFrame, types: Mapping[str, Semantic]) -> DataFrame:
             )
             bounds = bounds.join(q, "column", "left")
         parts.append(shaped(bounds))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts).orderBy("column", "option")
 
 
 def clip_upper(df: DataFrame, column: str, limit: float) -> DataFrame:

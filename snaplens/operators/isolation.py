@@ -8,16 +8,21 @@ value up in them, in Arrow batches.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snaplens.operators.skew import key_hash
 from snaplens.roles import col
 
+# What runs on workers travels by value: they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Forest size, rows per tree, seed.
 TREES, TREE_ROWS, SEED = 100, 256, 42
 POOL_ROWS = 2 * TREES * TREE_ROWS
