@@ -16,11 +16,12 @@ from snaplens.llm.common import SPACES, plain, saved
 
 LEAD = 2  # leading tokens on the path
 SEGMENTS = 4  # runs of the rest, one of which may vary
-SHORTEST = 4  # lines with fewer fixed tokens are no template and always stay
+SHORTEST = 4  # lines with fewer fixed tokens are no template; they only recur literally, and only with ``exact``
+BLANKS = " \t\n\v\f\r"
 GENERAL = 8  # lines from this many tokens on are generalised
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 3, exact: bool = False) -> DataFrame:
     """``docs`` with ``text`` cleaned, plus ``n_lines`` and ``n_dropped``.
 
     A template recurs when at least ``min_docs`` rows hold it; the first document is
@@ -28,9 +29,13 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     the document's id, so repeated rows are treated alike; null ids count as one
     document and come last. A null text stays null with no lines, an empty one is one
     empty line. Lines end at ``\\n``. Other columns pass through.
+
+    With ``exact``, lines too short for a template recur as they are written, without
+    the spaces around them; only blank lines always stay. ``LINE_DEDUP_SQL`` is the rule
+    without ``exact``.
     """
     row = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.struct(*map(plain, docs.columns)).alias("r"))
-    held = saved(row.filter("t is not null").select("d", _line_keys().alias("lines")), "lines")
+    held = saved(row.filter("t is not null").select("d", _line_keys(exact).alias("lines")), "lines")
 
     keys = held.select("d", F.explode(F.array_distinct(F.flatten("lines.keys"))).alias("key"))
     recurring = (
@@ -58,7 +63,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     )
 
 
-def _line_keys() -> Column:
+def _line_keys(exact: bool) -> Column:
     """The document's different lines, each with its hash and the hashes of its templates."""
     # The look-behind starts a match at the front of a token only: linear in the text.
     masked = F.regexp_replace("t", r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*", "<*>")
@@ -68,13 +73,14 @@ def _line_keys() -> Column:
         lambda p: F.struct(
             F.xxhash64(p["line"]).alias("line"),
             F.filter(F.split(p["masked"], SPACES + "+"), lambda t: t != "").alias("tokens"),
+            *([F.xxhash64(F.lit(-1), F.btrim(p["line"], F.lit(BLANKS))).alias("literal")] if exact else []),
         ),
     )
-    keyed = F.transform(cut, lambda c: F.struct(c["line"].alias("line"), _templates(c["tokens"]).alias("keys")))
+    keyed = F.transform(cut, lambda c: F.struct(c["line"].alias("line"), _templates(c["tokens"], c["literal"] if exact else None).alias("keys")))
     return F.filter(keyed, lambda k: F.size(k["keys"]) > 0)
 
 
-def _templates(tokens: Column) -> Column:
+def _templates(tokens: Column, literal: Column | None) -> Column:
     n = F.size(tokens)
     whole = F.xxhash64(F.lit(0), n, tokens)
     general = []
@@ -83,8 +89,9 @@ def _templates(tokens: Column) -> Column:
         end = F.lit(LEAD) + F.floor((n - LEAD) * F.lit(i + 1) / SEGMENTS).cast("int")
         general.append(F.xxhash64(F.lit(i + 1), n, F.slice(tokens, F.lit(1), start), F.slice(tokens, end + 1, n - end)))
     fixed = F.size(F.filter(tokens, lambda t: t != "<*>"))
+    none = F.array().cast("array<bigint>")
     return (
-        F.when(fixed < SHORTEST, F.array().cast("array<bigint>"))
+        F.when(fixed < SHORTEST, none if literal is None else F.when(n > 0, F.array(literal)).otherwise(none))
         .when(n < GENERAL, F.array(whole))
         .otherwise(F.array(whole, *general))
     )

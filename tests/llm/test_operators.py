@@ -337,6 +337,17 @@ def test_lines_of_a_recurring_template_go(spark):
     assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
 
 
+def test_short_lines_of_the_pipeline_go_when_they_recur(spark):
+    rows = [
+        (1, "Home\nPage 3 of 10\nOwn text a"), (2, " Home\t\nPage 3 of 10\nOwn text b\n\n"), (3, "Home\nPage 3 of 10\n\nOwn text c"),
+        (4, "Home\nPage 4 of 10\n\nHome"), (5, "Only two\nOwn text e"), (6, "Only two\nOwn text f"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert got == {1: rows[0][1], 2: "Own text b\n\n", 3: "\nOwn text c", 4: "Page 4 of 10\n", 5: rows[4][1], 6: rows[5][1]}
+    assert "Python" not in line_dedup(docs, exact=True)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_line_dedup_of_odd_rows_stays_native(spark, odd, none):
     out = line_dedup(odd)
     assert out.count() == odd.count() and line_dedup(none).count() == 0
