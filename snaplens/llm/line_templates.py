@@ -18,6 +18,7 @@ LEAD = 2  # leading tokens on the path
 SEGMENTS = 4  # runs of the rest, one of which may vary
 SHORTEST = 4  # lines with fewer fixed tokens are no template; they only recur literally, and only with ``exact``
 BLANKS = " \t\n\v\f\r"
+PASSAGE = 50  # lines of more tokens recur literally from the second document on, with ``exact``
 GENERAL = 8  # lines from this many tokens on are generalised
 
 
@@ -31,16 +32,17 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     empty line. Lines end at ``\\n``. Other columns pass through.
 
     With ``exact``, lines too short for a template recur as they are written, without
-    the spaces around them; only blank lines always stay. ``LINE_DEDUP_SQL`` is the rule
-    without ``exact``.
+    the spaces around them, and so do lines of more than ``PASSAGE`` tokens, for which two
+    rows suffice; only blank lines always stay. ``LINE_DEDUP_SQL`` is the rule without ``exact``.
     """
     row = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.struct(*map(plain, docs.columns)).alias("r"))
     held = saved(row.filter("t is not null").select("d", _line_keys(exact).alias("lines")), "lines")
 
     keys = held.select("d", F.explode(F.array_distinct(F.flatten("lines.keys"))).alias("key"))
+    enough = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, min(2, min_docs)).otherwise(min_docs) if exact else F.lit(min_docs)
     recurring = (
         keys.groupBy("key").agg(F.count("*").alias("n"), F.min("d").alias("first"))
-        .filter(F.col("n") >= min_docs).select("key", "first")
+        .filter(F.col("n") >= enough).select("key", "first")
     )
     lines = held.select("d", F.explode("lines").alias("l")).select("d", F.col("l.line"), F.explode("l.keys").alias("key"))
     gone = (
@@ -90,10 +92,15 @@ def _templates(tokens: Column, literal: Column | None) -> Column:
         general.append(F.xxhash64(F.lit(i + 1), n, F.slice(tokens, F.lit(1), start), F.slice(tokens, end + 1, n - end)))
     fixed = F.size(F.filter(tokens, lambda t: t != "<*>"))
     none = F.array().cast("array<bigint>")
+    found = F.when(fixed < SHORTEST, none).when(n < GENERAL, F.array(whole)).otherwise(F.array(whole, *general))
+    if literal is None:
+        return found
+    # The lowest bit of a key tells whether it is that of a passage.
+    even = F.transform(found, lambda k: k.bitwiseAND(F.lit(-2)))
     return (
-        F.when(fixed < SHORTEST, none if literal is None else F.when(n > 0, F.array(literal)).otherwise(none))
-        .when(n < GENERAL, F.array(whole))
-        .otherwise(F.array(whole, *general))
+        F.when(n > PASSAGE, F.concat(even, F.array(literal.bitwiseOR(F.lit(1)))))
+        .when((fixed < SHORTEST) & (n > 0), F.array(literal.bitwiseAND(F.lit(-2))))
+        .otherwise(even)
     )
 
 

@@ -348,6 +348,17 @@ def test_short_lines_of_the_pipeline_go_when_they_recur(spark):
     assert "Python" not in line_dedup(docs, exact=True)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_passages_of_the_pipeline_go_from_the_second_document_on(spark):
+    long, longer, limit = (" ".join(f"{c}{i if c == 'n' else 'abcdefghij'[i % 10]}" for i in range(n)) for c, n in (("p", 51), ("n", 60), ("q", 50)))
+    rows = [
+        (1, f"Own a\n{long}\n{limit}"), (2, f"{long} \nOwn b\n{limit}"), (3, f"Own c\n{longer}"),
+        (4, f"{longer}\nOwn d"), (5, f"Own e\n{long} more"), (6, f"Own f\n{longer.replace('n7', 'n70')}"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert got == {**dict(rows), 2: f"Own b\n{limit}", 4: "Own d"}
+
+
 def test_line_dedup_of_odd_rows_stays_native(spark, odd, none):
     out = line_dedup(odd)
     assert out.count() == odd.count() and line_dedup(none).count() == 0
