@@ -27,7 +27,7 @@ BROADCAST_ROWS = 100_000
 
 @dataclass(frozen=True)
 class Mix:
-    """``sizes``: one row per document with its copies. ``draws``: one row per block taken."""
+    """``sizes``: one row per document with the draws that take it. ``draws``: one row per block taken."""
 
     sizes: DataFrame
     draws: DataFrame
@@ -161,12 +161,22 @@ def plan_mix(
         .withColumn("mix_shard", F.size(F.filter("ends", lambda e: e <= F.col("nth"))))
         .select("source", "block", "pass", F.when(F.col("pass") == 0, F.col("cut")).otherwise(BLOCKS).alias("cut"), F.lit(None).cast("long").alias("pick"), "mix_shard")
     ).unionByName(picks.select("source", _block(F.col("pick")).alias("block"), F.lit(0).alias("pass"), F.lit(0).alias("cut"), "pick", F.pmod("pick", F.lit(shards)).cast("int").alias("mix_shard")))
-    wide = plan.select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "full", "cut")
-    wide = wide.join(F.broadcast(picks.withColumnRenamed("source", "s2")), F.col("s").eqNullSafe(F.col("s2")), "left")
+    draws = saved(draws, "draws")
+
+    # A block has AT_MOST + 2 draws at most; each row keeps those that take it.
+    of_block = draws.groupBy(F.col("source").alias("s2"), F.col("block").alias("b2")).agg(F.collect_list(F.struct("pass", "cut", "pick", "mix_shard")).alias("drawn"))
+    wide = plan.select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target")
+    wide = wide.join(of_block, F.col("s").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2")), "left").drop("s2", "b2")
     joined = sizes.join(_bounded(wide), F.col("source").eqNullSafe(F.col("s")) & (_block(F.col("h")) == F.col("b")))
-    once_more = (_sub(F.col("h")) < F.col("cut")) | F.coalesce(F.col("h") == F.col("pick"), F.lit(False))
-    copies = F.col("full") + once_more.cast("int")
-    return Mix(joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")), saved(draws, "draws"), docs)
+    takes = F.filter("drawn", lambda d: (_sub(F.col("h")) < d["cut"]) | F.coalesce(F.col("h") == d["pick"], F.lit(False)))
+    places = F.transform(takes, lambda d: F.struct(d["mix_shard"].alias("mix_shard"), _order(F.col("h"), d["pass"], seed).alias("mix_order")))
+    mixed = F.sort_array(F.coalesce(places, F.array().cast("array<struct<mix_shard:int,mix_order:bigint>>")))
+    rows = joined.select("doc_id", "source", "size", "source_size", "target", mixed.alias("mixed"))
+    return Mix(rows.withColumn("copies", F.size("mixed")), draws, docs)
+
+
+def _order(h: Column, nth_pass: Column, seed: int) -> Column:
+    return F.xxhash64(h, nth_pass, F.lit(seed))
 
 
 def _bounded(table: DataFrame) -> DataFrame:
@@ -184,4 +194,4 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rows = docs.select(F.struct(*map(plain, docs.columns)).alias("r"), plain(source).cast("string").alias("__source"), _hash(doc_id, text).alias("h"))
     taken = rows.join(_bounded(draws), F.col("__source").eqNullSafe(F.col("__s")) & (_block(F.col("h")) == F.col("__b")) & ((_sub(F.col("h")) < F.col("cut")) | (F.col("h") == F.col("pick"))))
     return taken.select(*[F.col("r").getField(c).alias(c) for c in docs.columns if c not in ("mix_shard", "mix_order")],
-                        "mix_shard", F.xxhash64("h", "pass", F.lit(seed)).alias("mix_order"))
+                        "mix_shard", _order(F.col("h"), F.col("pass"), seed).alias("mix_order"))

@@ -62,7 +62,9 @@ def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     plan = plan_mix(documents(spark, folder))
-    return plan.sizes.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return plan.sizes.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
+        F.col("mixed.mix_shard").alias("mix_shard"), F.col("mixed.mix_order").alias("mix_order"))
 
 
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:

@@ -264,6 +264,18 @@ def test_mixed_rows_are_the_planned_copies(spark, sf, odd, none):
     assert mix(none).count() == 0 and plan_mix(none).sizes.count() == 0
 
 
+def test_op6_and_the_pipeline_follow_the_draws(spark, sf, tmp_path):
+    docs = documents(spark, sf)
+    made = sorted((r["mix_shard"], r["mix_order"], r["doc_id"]) for r in mix(docs).collect())
+    got = queries.op6_mixing(spark, sf).collect()
+    assert sorted((s, o, r["doc_id"]) for r in got for s, o in zip(r["mix_shard"], r["mix_order"])) == made
+    assert all(r["taken"] == r["size"] * len(r["mix_shard"]) for r in got)
+    assert len({s for s, _, _ in made}) == 16
+    corpus_pipeline.mixed(spark, docs, sf).write.parquet(str(tmp_path / "mixed"))
+    files = sorted((tmp_path / "mixed").glob("part-*"))
+    assert [r["doc_id"] for f in files for r in spark.read.parquet(str(f)).select("doc_id").collect()] == [i for _, _, i in made]
+
+
 # ---- op7: sharding
 
 
