@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snaplens.llm.common import WordHashes, bucket_count, mix, pieces, plain, saved, shingles, signed, table, words
@@ -91,33 +91,39 @@ def link_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def jaccard_components(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_each: int = 3, percent: int = 90
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_each: int = 3, percent: int = 90, keyed: bool = False
 ) -> DataFrame:
     """Columns ``doc_id``, ``n_shingles``, ``component_id``: one row for each row of ``docs``.
 
+    With ``keyed`` also ``row_key``, the row's ``row_key(doc_id, text)``, and ``group_key``, which
+    rows of one component share, with ids or without (null without shingles).
+
     Words are cut at ASCII spaces with A-Z lower-cased. A set holds the distinct
     shingles of ``words_each`` words, or the whole sequence if there are fewer words.
     Two sets link if 100 * intersection >= ``percent`` * union. A text that is null,
     empty or blank has no shingles and is alone. The component is the smallest id that
     links reach; null ids are never that id unless there is no other. Rows with equal
-    sets are one set, so groups of copies cost nothing; repeated ids are rows of their own.
+    sets are one set, so groups of copies cost nothing; repeated ids are rows of their own
+    and do not join what their texts do not link.
     Other columns are not read.
     """
-    base = docs.select(plain(doc_id).alias("doc_id"), plain(text).alias("text"))
-    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    base = docs.select(plain(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), plain(text).alias("text"))
+    out = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def sketch(batches):
         hashes = WordHashes()
         for piece in pieces(batches, 4 << 20):
             rows = []
-            for t in piece.column(1).to_pylist():
+            for t in piece.column(2).to_pylist():
                 found = shingles(hashes.of(words(t)), words_each)
                 rows.append((len(found), signed_hash(found) if len(found) else None, signed(band_keys(found, percent))))
-            yield table(out, piece.column(0), *([r[i] for r in rows] for i in range(3)))
+            yield table(out, piece.column(0), piece.column(1), *([r[i] for r in rows] for i in range(3)))
 
-    sets = saved(base.mapInArrow(sketch, "doc_id long, n long, set_id long, keys array<long>"), "sets")
-    members = sets.select("doc_id", "n", "set_id")
-    first = members.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
+    sets = saved(base.mapInArrow(sketch, "doc_id long, row_key long, n long, set_id long, keys array<long>"), "sets")
+    members = sets.select("doc_id", "row_key", "n", "set_id")
+    # A set by its smallest id, so that the smallest set has the component's id; sets without any come last.
+    node = F.struct(F.col("rep").isNull().alias("none"), F.coalesce("rep", F.lit(0)).alias("id"), F.col("set_id"))
+    first = members.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep")).select("set_id", node.alias("node"))
 
     # Sets that share a key: each is tied to the smallest one, never to all.
     keys = sets.filter("size(keys) > 0").select("set_id", F.explode("keys").alias("key"))
@@ -127,16 +133,22 @@ def jaccard_components(
 
     links = saved(_verified(base, members, groups, words_each, percent), "links")
     joined = components(
-        links.join(first.select(F.col("set_id").alias("u"), F.col("rep").alias("ru")), "u")
-        .join(first.select(F.col("set_id").alias("v"), F.col("rep").alias("rv")), "v")
+        links.join(first.select(F.col("set_id").alias("u"), F.col("node").alias("ru")), "u")
+        .join(first.select(F.col("set_id").alias("v"), F.col("node").alias("rv")), "v")
         .select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-    )
-    label = first.join(joined, first["rep"] == joined["node"], "left").select("set_id", F.coalesce("component", "rep").alias("component"))
+    ).select(F.col("node.set_id").alias("set_id"), "component")
+    label = first.join(joined, "set_id", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     return members.join(label, "set_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(~F.coalesce("component.none", F.lit(True)), F.col("component.id")).otherwise(F.col("doc_id")).alias("component_id"),
+        *(["row_key", F.col("component.set_id").alias("group_key")] if keyed else []),
     )
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """The same for rows equal in id and text, null or not."""
+    return F.xxhash64(F.struct(plain(doc_id), plain(text)), plain(doc_id).isNull())
+
+
 def signed_hash(found: np.ndarray) -> int:
     value = xxhash.xxh64_intdigest(found.tobytes())
     return value - (1 << 64) if value >> 63 else value
@@ -152,12 +164,16 @@ def _verified(base: DataFrame, members: DataFrame, groups: DataFrame, words_each
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("mine")).cast("long") * F.col("blocks") + F.greatest(o, F.col("mine")))
     )
     # A text of each set; equal sets from several texts drop out in the verifying task.
-    holder = members.filter("doc_id is not null and n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = saved(placed.join(holder, "set_id").select("doc_id", "set_id", "component", pairs.alias("pairs")), "wanted")
+    named = F.min(F.when(F.col("doc_id").isNotNull(), F.col("row_key")))
+    holder = members.filter("n > 0").groupBy("set_id").agg(F.coalesce(named, F.min("row_key")).alias("row_key"))
+    wanted = saved(placed.join(holder, "set_id").select("row_key", "set_id", "component", pairs.alias("pairs")), "wanted")
     parts = bucket_count(wanted.agg(F.sum(F.size("pairs"))).first()[0], ROWS)
     unit = F.xxhash64("component", "pair")
+    # Copies without id are one row here, however many there are.
+    nameless = base.filter("doc_id IS NULL").groupBy("row_key").agg(F.first("text").alias("text"))
+    texts = base.filter("doc_id IS NOT NULL").select("row_key", "text").unionByName(nameless)
     tasks = (
-        base.join(wanted, "doc_id").select("text", "set_id", "component", F.explode("pairs").alias("pair"))
+        texts.join(wanted, "row_key").select("text", "set_id", "component", F.explode("pairs").alias("pair"))
         .select(F.pmod(unit, F.lit(parts)).cast("int").alias("part"), unit.alias("unit"), "set_id", "text")
     )
 
@@ -167,7 +183,7 @@ def _verified(base: DataFrame, members: DataFrame, groups: DataFrame, words_each
             sets = {}
             for set_id, t in zip(rows["set_id"], rows["text"]):
                 found = shingles(hashes.of(words(t)), words_each)
-                if len(found) and signed_hash(found) == set_id:  # a repeated id may bring other texts along
+                if len(found) and signed_hash(found) == set_id:  # two texts may have one key
                     sets[set_id] = found
             ids = sorted(sets)
             edges += [(ids[a], ids[b]) for a, b in link_forest([sets[i] for i in ids], percent)] if ids else []

@@ -137,6 +137,15 @@ def test_jaccard_of_odd_rows(spark, odd, none):
     assert jaccard_components(none).count() == 0
 
 
+def test_a_set_without_id_links_others(spark):
+    a = [f"w{i}" for i in range(300)]
+    b, c = ["x", *a[1:]], ["x", *a[1:-1], "y"]  # 297 of 299 shingles with b in common, a and c 296 of 300
+    rows = [(9, " ".join(a)), (None, " ".join(b)), (4, " ".join(c)), (None, " ".join(b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in jaccard_components(docs, words_each=3, percent=99).collect()]
+    assert sorted(got, key=str) == sorted([(9, 298, 4), (None, 298, 4), (None, 298, 4), (4, 298, 4)], key=str)
+
+
 def test_sets_that_may_link_share_a_band():
     rng = np.random.default_rng(2)
     for n in (11, 40, 333, 2_000):
