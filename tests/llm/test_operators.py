@@ -455,6 +455,18 @@ def test_pipeline_stages(spark, sf, library, tmp_path):
     assert Counter(tuple(r["ids"]) for r in docs.collect()) == texts
 
 
+def test_one_of_each_group_of_near_copies_stays(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [
+        (1, a, "s"), (1, a, "s"), (1, a, "t"), (2, a + " more", "s"), (2, b, "s"), (None, a, "s"),
+        (None, c, "s"), (None, c, "s"), (None, c + " more", "s"), (None, d, "s"), (None, None, "s"), (None, None, "s"), (3, " ", "s"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, docs, "").collect())
+    assert sum(got[None, t] for t in (c, c + " more")) == 1
+    assert {k: n for k, n in got.items() if not (k[1] or "").startswith("c")} == {(1, a): 1, (2, b): 1, (None, d): 1, (None, None): 2, (3, " "): 1}
+
+
 def test_pipeline_of_odd_and_empty_documents(spark, odd, none):
     for docs in (odd, none):
         for _, stage in corpus_pipeline.STAGES:
