@@ -27,34 +27,37 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
 
     A template recurs when at least ``min_docs`` rows hold it; the first document is
     the one with the smallest id. What happens to a line depends only on its words and
-    the document's id, so repeated rows are treated alike; null ids count as one
-    document and come last. A null text stays null with no lines, an empty one is one
+    the document's id, so repeated rows are treated alike. Rows without id come last, each
+    text of them a document of its own. A null text stays null with no lines, an empty one is one
     empty line. Lines end at ``\\n``. Other columns pass through.
 
     With ``exact``, lines too short for a template recur as they are written, without
     the spaces around them, and so do lines of more than ``PASSAGE`` tokens, for which two
     rows suffice; only blank lines always stay. ``LINE_DEDUP_SQL`` is the rule without ``exact``.
     """
-    row = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.struct(*map(plain, docs.columns)).alias("r"))
-    held = saved(row.filter("t is not null").select("d", _line_keys(exact).alias("lines")), "lines")
+    nameless = F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).otherwise(0).alias("h")
+    row = docs.select(F.col(doc_id).alias("d"), nameless, F.col(text).alias("t"), F.struct(*map(plain, docs.columns)).alias("r"))
+    held = saved(row.filter("t is not null").select("d", "h", _line_keys(exact).alias("lines")), "lines")
 
-    keys = held.select("d", F.explode(F.array_distinct(F.flatten("lines.keys"))).alias("key"))
+    keys = held.select("d", "h", F.explode(F.array_distinct(F.flatten("lines.keys"))).alias("key"))
     enough = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, min(2, min_docs)).otherwise(min_docs) if exact else F.lit(min_docs)
     recurring = (
-        keys.groupBy("key").agg(F.count("*").alias("n"), F.min("d").alias("first"))
-        .filter(F.col("n") >= enough).select("key", "first")
+        keys.groupBy("key").agg(F.count("*").alias("n"), F.min("d").alias("first"), F.min("h").alias("first_h"))
+        .filter(F.col("n") >= enough).select("key", "first", "first_h")
     )
-    lines = held.select("d", F.explode("lines").alias("l")).select("d", F.col("l.line"), F.explode("l.keys").alias("key"))
+    lines = held.select("d", "h", F.explode("lines").alias("l")).select("d", "h", F.col("l.line"), F.explode("l.keys").alias("key"))
+    # Without a first id all holders are nameless, and the smallest text hash is first.
+    is_first = F.col("d").eqNullSafe(F.col("first")) & (F.col("first").isNotNull() | (F.col("h") == F.col("first_h")))
     gone = (
-        lines.join(recurring, "key").filter(~F.col("d").eqNullSafe(F.col("first")))
-        .groupBy("d").agg(F.collect_set("line").alias("gone"))
-    ).withColumnRenamed("d", "d2")
+        lines.join(recurring, "key").filter(~is_first)
+        .groupBy(F.col("d").alias("d2"), F.col("h").alias("h2")).agg(F.collect_set("line").alias("gone"))
+    )
 
     parts = F.split("t", "\n")
     stay = F.when(F.col("gone").isNull(), parts).otherwise(
         F.filter(parts, lambda l: ~F.array_contains("gone", F.xxhash64(l)))
     )
-    out = row.join(gone, F.col("d").eqNullSafe(F.col("d2")), "left").select(
+    out = row.join(gone, F.col("d").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")), "left").select(
         "r", "t", stay.alias("stay"), F.coalesce(F.size(parts), F.lit(0)).alias("n")
     )
     kept = F.when(F.col("t").isNotNull(), F.array_join("stay", "\n"))

@@ -380,6 +380,13 @@ def test_passages_of_the_pipeline_go_from_the_second_document_on(spark):
     assert got == {**dict(rows), 2: f"Own b\n{limit}", 4: "Own d"}
 
 
+def test_rows_without_id_are_documents_of_their_own(spark):
+    rows = [(None, f"Own words {c}\nOrder {i} was shipped to you today") for i, c in enumerate("abcd")]
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["n_dropped"] for r in got) == [0, 1, 1, 1]
+    assert all((r["text"] in dict.fromkeys(t for _, t in rows)) == (r["n_dropped"] == 0) for r in got)
+
+
 def test_line_dedup_of_odd_rows_stays_native(spark, odd, none):
     out = line_dedup(odd)
     assert out.count() == odd.count() and line_dedup(none).count() == 0
