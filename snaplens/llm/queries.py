@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snaplens.llm.ann import nearest
 from snaplens.llm.bpe import bpe_encode
-from snaplens.llm.common import remainder
+from snaplens.llm.common import SPACES, remainder
 from snaplens.llm.embedding_dedup import cosine_components
 from snaplens.llm.jaccard import jaccard_components
 from snaplens.llm.langid import fit, identify
 from snaplens.llm.line_templates import LINE_DEDUP_SQL, line_dedup
 from snaplens.llm.lm import lm_scores
 from snaplens.llm.mixing import plan_mix
+from snaplens.llm.periodic import periodic_runs
 from snaplens.llm.sharding import shard_by_size
 from snaplens.llm.token_files import read_tokens, write_tokens
 
@@ -90,8 +91,42 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def looped(doc_id: Column, text: Column) -> Column:
+    """The text, where crc32(doc_id) is divisible by ten, with its words from the a-th on repeated every p words.
+
+    A null id has no crc32; its text stays.
+    """
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, f"{SPACES}+"), lambda w: w != "")
+    n = F.size(words)
+    a = (g % n).cast("int")
+    p = (F.floor((n - a) / (g % 8 + 3)) + 1).cast("int")
+    turns = F.ceil((n - a) / p).cast("int")
+    cycle = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), turns)), 1, n - a)
+    changed = F.array_join(F.concat(F.slice(words, 1, a), cycle), " ")
+    return F.when((h % 10 == 0) & (n > 0), changed).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    found = periodic_runs(docs.select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text")), shortest=12)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("length"), r.start.alias("start"), r.period.alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        (-F.col("longest.length")).alias("length"),
+        F.col("longest.period").alias("period"),
+        F.floor(-F.col("longest.length") * 1000 / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_jaccard_join, op3_bpe, op4_nearest, op5_embedding_dedup, op6_mixing, op7_sharding,
-    op8_language_id, op9_line_dedup, op10_lm_scoring,
+    op8_language_id, op9_line_dedup, op10_lm_scoring, op12_periodic_runs,
 )}
 ORACLES = {"op9_line_dedup": LINE_DEDUP_SQL}
