@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from snaplens.llm.ann import nearest
 from snaplens.llm.bpe import bpe_encode
-from snaplens.llm.common import SPACES, remainder
+from snaplens.llm.common import SPACES, remainder, saved
 from snaplens.llm.embedding_dedup import cosine_components
 from snaplens.llm.jaccard import jaccard_components
 from snaplens.llm.langid import fit, identify
@@ -16,6 +16,7 @@ from snaplens.llm.line_templates import LINE_DEDUP_SQL, line_dedup
 from snaplens.llm.lm import lm_scores
 from snaplens.llm.mixing import plan_mix
 from snaplens.llm.periodic import periodic_runs
+from snaplens.llm.prefix_trie import ordered_turns, prefix_trie, with_heads
 from snaplens.llm.sharding import shard_by_size
 from snaplens.llm.token_files import read_tokens, write_tokens
 
@@ -91,6 +92,12 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    own = saved(ordered_turns(spark.read.parquet(f"{folder}/conversations.parquet")), "turns")
+    conv = F.col("conv_id")
+    return prefix_trie(with_heads(own, conv - conv % 5, F.crc32(conv.cast("string")) % 9))
+
+
 def looped(doc_id: Column, text: Column) -> Column:
     """The text, where crc32(doc_id) is divisible by ten, with its words from the a-th on repeated every p words.
 
@@ -127,6 +134,6 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_jaccard_join, op3_bpe, op4_nearest, op5_embedding_dedup, op6_mixing, op7_sharding,
-    op8_language_id, op9_line_dedup, op10_lm_scoring, op12_periodic_runs,
+    op8_language_id, op9_line_dedup, op10_lm_scoring, op11_prefix_trie, op12_periodic_runs,
 )}
 ORACLES = {"op9_line_dedup": LINE_DEDUP_SQL}
