@@ -17,6 +17,7 @@ from snaplens.llm.lm import lm_scores
 from snaplens.llm.mixing import plan_mix
 from snaplens.llm.periodic import periodic_runs
 from snaplens.llm.prefix_trie import ordered_turns, prefix_trie, with_heads
+from snaplens.llm.repeats import remove_repeats
 from snaplens.llm.sharding import shard_by_size
 from snaplens.llm.token_files import read_tokens, write_tokens
 
@@ -132,8 +133,16 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = remove_repeats(documents(spark, folder).select("doc_id", "text"), length=100)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r.length)
+    return cleaned.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_jaccard_join, op3_bpe, op4_nearest, op5_embedding_dedup, op6_mixing, op7_sharding,
-    op8_language_id, op9_line_dedup, op10_lm_scoring, op11_prefix_trie, op12_periodic_runs,
+    op8_language_id, op9_line_dedup, op10_lm_scoring, op11_prefix_trie, op12_periodic_runs, op13_suffix_dedup,
 )}
 ORACLES = {"op9_line_dedup": LINE_DEDUP_SQL}
