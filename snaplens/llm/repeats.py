@@ -40,7 +40,7 @@ SEGMENTS = ["doc", "key", "lo", "n", "anchor"]
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = 16 << 20, shard_bytes: int = 4 << 20
+    docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = 8 << 20, shard_bytes: int = 4 << 20
 ) -> DataFrame:
     """``docs`` with ``n_bytes``, ``removed`` (start and length of maximal removed byte runs) and ``kept`` (the other bytes).
 
@@ -208,7 +208,7 @@ def _ids(column) -> np.ndarray:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, 4 << 20, 1 << 16):
+    for batch in pieces(batches, 2 << 20, 1 << 16):
         data, sizes = _bytes(batch.column(2))
         starts = np.cumsum(sizes) - sizes
         if len(data) < length:
