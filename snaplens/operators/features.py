@@ -1,10 +1,10 @@
 """Derived columns that keep every row: entity history and owner performance.
 
-Entity features are sums over one id. They share one exchange on the id: the
-aggregates run as windows. Ids with so many rows that a window would hold them on
-one task are split off (see ``skew``): their aggregates are computed map-side and
-broadcast, and the previous-row lookup runs per id and hour with the last row of
-the preceding hour carried over.
+Entity features are aggregates per id, computed map-side first and joined back; adaptive
+execution splits the rows of a hot id in that join. The previous row of each row comes from
+ranges of (id, date, tie) between sampled splitters: rows are sorted range by range, and the
+last row of each range is carried to the next, so an id may span any number of tasks. Building the
+plan runs no job.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from snaplens.functions.dates import days_between, newest_first, period_start
 from snaplens.functions.numbers import ratio
-from snaplens.operators import skew
-from snaplens.operators.quantiles import column_quantiles
+from snaplens.operators.quantiles import long_quantiles
 from snaplens.operators.semantics import Semantic
+from snaplens.operators.skew import lookup_join
 from snaplens.roles import Roles, col, find_column
-from snaplens.session import stabilise
 
 PREVIOUS = "__previous"
+SAMPLES = 16  # sampled rows per range
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,8 @@ class Feature:
     """How to derive one column.
 
     Either ``parts`` and ``value`` (aggregates per id and a row expression over
-    them) or ``apply`` (any table-to-table function) is given.
+    them) or ``apply`` (any table-to-table function) is given. ``distinct`` names columns
+    whose different values are counted per id, as further parts.
     """
 
     name: str
@@ -41,6 +42,7 @@ class Feature:
     semantic: Semantic
     parts: Callable[[Roles], dict[str, Column]] | None = None
     value: Callable[[Roles], Column] | None = None
+    distinct: Callable[[Roles], dict[str, str]] | None = None
     needs_previous: bool = False
     apply: Callable[[DataFrame, Roles], DataFrame] | None = None
 
@@ -79,13 +81,8 @@ def available_features(df: DataFrame, roles: Roles) -> dict[str, Feature]:
     return {n: f for n, f in _REGISTRY.items() if all(present(need) for need in f.requires)}
 
 
-def add_features(
-    df: DataFrame, roles: Roles, names: Sequence[str], hot: Sequence[int] | None = None
-) -> DataFrame:
-    """Append the named features in the order given; those that cannot be computed are skipped.
-
-    ``hot`` are hashes of ids known to be hot; by default one scan of the id finds them.
-    """
+def add_features(df: DataFrame, roles: Roles, names: Sequence[str]) -> DataFrame:
+    """Append the named features in the order given; those that cannot be computed are skipped."""
     usable = available_features(df, roles)
     wanted: list[Feature] = []
     for name in dict.fromkeys(_ALIASES.get(n, n) for n in names):
@@ -98,76 +95,72 @@ def add_features(
     r = roles.bind(base)
 
     entity = [f for f in wanted if f.value is not None]
-    out = _add_entity_features(base, r, entity, hot) if entity else base
+    out = _add_entity_features(base, r, entity) if entity else base
     for feature in wanted:
         if feature.apply is not None:
             out = feature.apply(out, r)
     return out.select(*map(col, kept), *[col(f.name) for f in wanted])
 
 
-def _add_entity_features(
-    df: DataFrame, r: Roles, wanted: Sequence[Feature], hot: Sequence[int] | None
-) -> DataFrame:
-    known = col(r.id).isNotNull()
-    values = [F.when(known, f.value(r)).alias(f.name) for f in wanted]
+def _add_entity_features(df: DataFrame, r: Roles, wanted: Sequence[Feature]) -> DataFrame:
+    values = [F.when(col(r.id).isNotNull(), f.value(r)).alias(f.name) for f in wanted]
     parts: dict[str, Column] = {}
+    distinct: dict[str, str] = {}
     for feature in wanted:
-        parts.update(feature.parts(r) if feature.parts else {})
-    stepwise = any(f.needs_previous for f in wanted)
-    hot = skew.hot_keys(df, [r.id])[0] if hot is None else hot
-
-    def finish(rows: DataFrame) -> DataFrame:
-        return rows.select(*map(col, df.columns), *values)
-
-    def by_window(rows: DataFrame) -> DataFrame:
-        per_id = Window.partitionBy(col(r.id))
-        if stepwise:  # first, so that its sort also serves the unordered windows
-            rows = rows.withColumn(PREVIOUS, F.lag(_state(r)).over(per_id.orderBy(*_history(r))))
-        return rows.select("*", *[agg.over(per_id).alias(name) for name, agg in parts.items()])
-
-    def by_broadcast(rows: DataFrame) -> DataFrame:
-        table = rows.groupBy(col(r.id)).agg(*[a.alias(n) for n, a in parts.items()]) if parts else None
-        if stepwise:
-            rows = _with_previous_by_hour(rows, r)
-        return rows.join(F.broadcast(table), [r.id], "left") if parts else rows
-
-    if not hot:
-        return finish(by_window(df))
-    inside = skew.is_hot([r.id], hot)
-    return finish(by_window(df.filter(~inside))).unionByName(finish(by_broadcast(df.filter(inside))))
-
-
-def _history(r: Roles) -> list[Column]:
-    return [col(r.snapshot).asc_nulls_last(), *r.order_columns()]
-
-
-def _state(r: Roles) -> Column:
-    return F.struct(col(r.snapshot).alias("at"), col(r.stage).alias("stage"))
-
-
-def _with_previous_by_hour(rows: DataFrame, r: Roles) -> DataFrame:
-    """The previous row of every row of a hot id, ordering no more than one hour at a time.
-
-    An id has at most as many hours as the calendar, so carrying the last row of
-    each hour forward is bounded whatever the number of rows. Undated rows come last
-    and have no use for a previous row.
+        parts |= feature.parts(r) if feature.parts else {}
+        distinct |= feature.distinct(r) if feature.distinct else {}
+    rows = with_previous(df, r) if any(f.needs_previous for f in wanted) else df
+    known = df.filter(col(r.id).isNotNull())
+    tables = [known.groupBy(col(r.id)).agg(*[a.alias(n) for n, a in parts.items()])] if parts else []
+    for name, column in distinct.items():  # different values first, so that a hot id's rows meet on several tasks
+        pairs = known.filter(col(column).isNotNull()).select(col(r.id), col(column).alias(name)).distinct()
+        tables.append(pairs.groupBy(col(r.id)).agg(F.count("*").alias(name)))
+    for table in tables:
+        rows = lookup_join(rows, table, [r.id])
+    return rows.select(*map(col, df.columns), *values)
+
+
+def _place(r: Roles) -> list[Column]:
+    """What orders all rows: id, then date (undated last), then the tie columns."""
+    return [col(r.id), col(r.snapshot).isNull(), col(r.snapshot), *r.order_columns()]
+
+
+def with_previous(df: DataFrame, r: Roles, ranges: int | None = None) -> DataFrame:
+    """``df`` with ``PREVIOUS``: date and stage of the same id's row before, null for its first.
+
+    Splitters are taken from the rows with the smallest hashes, so they depend on the data alone and every pass
+    over it makes the same ranges. ``ranges`` defaults to four per shuffle partition. Rows equal in id,
+    date and tie columns share a range.
     """
-    hour = F.struct(col(r.snapshot).cast("date").alias("day"), F.hour(col(r.snapshot)).alias("hour"))
-    dated = rows.filter(col(r.snapshot).isNotNull()).withColumn("__hour", hour)
-    latest = F.struct(col(r.snapshot), *r.order_columns())
-    keys = [col(r.id), F.col("__hour")]
-    tails = dated.groupBy(*keys).agg(F.max_by(_state(r), latest).alias("__tail"))
-    carried = F.lag("__tail").over(Window.partitionBy(col(r.id)).orderBy("__hour"))
-    tails = tails.select(*keys, carried.alias("__carried"))
-    within = F.lag(_state(r)).over(Window.partitionBy(*keys).orderBy(*_history(r)))
-    stepped = (
-        dated.withColumn(PREVIOUS, within)
-        .join(tails, [r.id, "__hour"], "left")
-        .withColumn(PREVIOUS, F.coalesce(F.col(PREVIOUS), F.col("__carried")))
-        .drop("__hour", "__carried")
+    ranges = ranges or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fan = max(2, round(ranges**0.5))
+    place = F.struct(*[c.alias(f"p{i}") for i, c in enumerate(_place(r))])
+    sample = df.select(place.alias("p"), F.xxhash64(*_place(r)).alias("h")).orderBy("h").limit(SAMPLES * fan * fan)
+    listed = sample.agg(F.sort_array(F.collect_list("p")).alias("p"))
+    step = F.greatest(F.ceil(F.size("p") / F.lit(fan * fan)).cast("int"), F.lit(1))
+    every = listed.select(F.filter("p", lambda _, i: i % step == step - 1).alias("all"))
+    splitters = every.select(  # one row
+        F.lit(0).alias("__all"), F.col("all").alias("__fine"), F.filter("all", lambda _, i: i % fan == fan - 1).alias("__coarse"))
+
+    def upto(several: Column) -> Column:
+        return F.size(F.filter(several, lambda s: s <= F.col("__place")))
+
+    rows = df.withColumns({"__all": F.lit(0), "__place": place}).join(F.broadcast(splitters), "__all")
+    rows = rows.withColumn("__block", upto(F.col("__coarse")) * fan)
+    rows = rows.withColumn("__range", F.col("__block") + upto(F.slice("__fine", F.col("__block") + 1, fan)))
+    rows = rows.drop("__all", "__fine", "__coarse", "__block", "__place")
+
+    state = F.struct(col(r.id).alias("id"), col(r.snapshot).alias("at"), col(r.stage).alias("stage"))
+    tails = rows.groupBy("__range").agg(F.max_by(state, place).alias("__tail"))
+    carried = tails.select("__range", F.lag("__tail").over(Window.orderBy("__range")).alias("__carried"))  # a row per range
+    within = F.lag(state).over(Window.partitionBy("__range").orderBy(*_place(r)))
+    before = F.coalesce(F.col(PREVIOUS), F.col("__carried"))
+    return (
+        rows.withColumn(PREVIOUS, within)
+        .join(F.broadcast(carried), "__range", "left")
+        .withColumn(PREVIOUS, F.when(before["id"] == col(r.id), F.struct(before["at"].alias("at"), before["stage"].alias("stage"))))
+        .drop("__range", "__carried")
     )
-    undated = rows.filter(col(r.snapshot).isNull()).withColumn(PREVIOUS, F.lit(None))
-    return stepped.unionByName(undated)
 
 
 def _complete(r: Roles) -> Column:
@@ -233,7 +226,7 @@ def _owner_win_rate(df: DataFrame, r: Roles) -> DataFrame:
     rates = entity.filter(named).groupBy(col(r.owner)).agg(
         ratio(won, won + lost, 100.0).alias("user_win_rate")
     )
-    return skew.lookup_join(df, rates, [r.owner])
+    return lookup_join(df, rates, [r.owner])
 
 
 def _owner_activity(df: DataFrame, r: Roles) -> DataFrame:
@@ -247,15 +240,13 @@ def _owner_activity(df: DataFrame, r: Roles) -> DataFrame:
         .groupBy(col(r.owner))
         .agg(F.avg("__entities").alias("__mean"))
     )
-    monthly = stabilise(monthly)  # one row per owner, read several times below
-    owners = monthly.count()
-    if owners < 3:
-        return df.withColumn("user_activity_rating", F.lit("Unknown"))
-    low, high = column_quantiles(monthly, ["__mean"], [0.33, 0.67], {"__mean": owners})["__mean"]
+    # the tercile limits and the number of owners are scalar subqueries over the owner table
+    limits = long_quantiles(monthly, ["__mean"], [0.33, 0.67]).select("q").scalar()
+    owners = monthly.agg(F.count("*").alias("n")).scalar()
     mean = F.col("__mean")
-    label = F.when(mean <= low, "Low").when(mean <= high, "Medium").otherwise("High")
-    rated = monthly.select(col(r.owner), label.alias("user_activity_rating"))
-    return skew.lookup_join(df, rated, [r.owner]).withColumn(
+    label = F.when(mean <= limits[0], "Low").when(mean <= limits[1], "Medium").otherwise("High")
+    rated = monthly.select(col(r.owner), F.when(owners >= 3, label).alias("user_activity_rating"))
+    return lookup_join(df, rated, [r.owner]).withColumn(
         "user_activity_rating", F.coalesce("user_activity_rating", F.lit("Unknown"))
     )
 
@@ -299,8 +290,7 @@ for _feature in (
     Feature(
         "stage_progression_count", "Number of different stages seen", ("id", "stage"),
         Semantic.NUMERICAL,
-        lambda r: {"__stages": F.collect_set(col(r.stage))},  # stage names only, never rows
-        lambda r: F.nullif(F.size("__stages").cast("bigint"), F.lit(0).cast("bigint")),
+        value=lambda r: F.col("__stages"), distinct=lambda r: {"__stages": r.stage},
     ),
 ):
     _REGISTRY[_feature.name] = _feature

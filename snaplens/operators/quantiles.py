@@ -1,29 +1,23 @@
-"""Exact quantiles with linear interpolation, for groups of any size.
-
-``percentile`` keeps every distinct value of a group in one buffer. That is fine
-for ordinary groups and is used for them. A group above ``skew.HOT_ROWS`` rows is
-narrowed instead: each pass brackets the wanted ranks with a mergeable sketch and
-counts exactly how many values lie below the bracket, until a bracket holds few
-enough values to sort. Every pass combines map-side; no task sees a whole group.
+"""Exact quantiles with linear interpolation by radix selection, for groups of any size.
+
+Doubles become longs of the same order. A pass counts values per group and leading bits,
+and running totals over the bins tell which bin holds each wanted rank. Those bins (at most two per
+probability) are the bracket, a table that is joined to the values for the next bits. After the
+third pass, whose bins are the values themselves, the rank is found. The passes are one lazy plan that is the same for every
+size: counts combine map-side, a bracket never has more than 2**22 bins, and no pass sorts or gathers
+the values of a group.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from snaplens.operators import skew
 from snaplens.roles import col
-from snaplens.session import stabilise
 
-BRACKET_ROWS = 200_000  # values of one range that may be sorted in one place
-GRID = 100
-ACCURACY = 10_000
+SHIFTS = (44, 22, 0)  # bits of the key below a bin, pass by pass
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
@@ -34,164 +28,69 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     return long_quantiles(df, [value], probs, keys).select(*map(col, keys), "q")
 
 
-def column_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], counts: Mapping[str, int] | None = None
-) -> dict[str, list[float | None]]:
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Quantiles of whole columns; at most one row per column reaches the driver."""
-    found = {r["column"]: list(r["q"]) for r in long_quantiles(df, columns, probs, counts=counts).collect()}
+    found = {r["column"]: list(r["q"]) for r in long_quantiles(df, columns, probs).collect()}
     return {c: found.get(c, [None] * len(probs)) for c in columns}
 
 
-def long_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    keys: Sequence[str] = (),
-    counts: Mapping[str, int] | None = None,
-) -> DataFrame:
-    """Rows ``keys``, ``column``, ``q``: the quantiles of several columns, per group if keyed.
+def number(value: Column) -> Column:
+    """As a double; NaN counts as missing."""
+    value = value.cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def sort_key(value: Column) -> Column:
+    """A long that never falls as the double grows: its exponent, 52 bits of its fraction, and the sign.
 
-    One pass finds what is too large for ``percentile``: columns when there are no
-    keys, else groups. It is saved when the ``counts`` of the columns are known.
+    Next to a power of two, where the logarithm may be one off, neighbours can share a key; so do
+    subnormal numbers and 0, and infinity and the largest number. The last pass tells them apart.
     """
-    keys, by = list(keys), [col(k) for k in keys]
-    data = df.select(*by, *[_number(c).alias(f"__v{i}") for i, c in enumerate(columns)])
-    values = [f"__v{i}" for i in range(len(columns))]
-    large = dict.fromkeys(values, False)
-    cold = warm = data
-    if keys:
-        hot = skew.hot_keys(data, keys)[0]
-        if hot:
-            cold, warm = data.filter(~skew.is_hot(keys, hot)), data.filter(skew.is_hot(keys, hot))
-            large = dict.fromkeys(values, True)
-        small = values
-    else:
-        if counts is None:
-            counts = dict(zip(columns, data.agg(*[F.count(v) for v in values]).first()))
-        large = {v: counts[c] > skew.HOT_ROWS for v, c in zip(values, columns)}
-        small = [v for v in values if not large[v]]
-
-    def long(rows: DataFrame, picked: Sequence[str], name: str) -> DataFrame:
-        cells = [F.struct(F.lit(columns[int(v[3:])]).alias("column"), F.col(v).alias(name)) for v in picked]
-        return rows.select(*by, F.inline(F.array(*cells))).filter(F.col(name).isNotNull())
-
-    parts = []
-    if small:
-        points = F.array(*[F.lit(float(p)) for p in probs])
-        exact = cold.groupBy(*by).agg(*[F.percentile(v, points).alias(v) for v in small])
-        parts.append(long(exact, small, "q"))
-    if any(large.values()):
-        parts.append(_narrow(long(warm, [v for v in values if large[v]], "v"), [*keys, "column"], list(probs)))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def _number(name: str) -> Column:
-    value = col(name).cast("double")
-    return F.when(~F.isnan(value), value)
+    size = F.least(F.greatest(F.abs(value), F.lit(2.0**-1022)), F.lit(1.7976931348623157e308))
+    exponent = F.floor(F.log2(size)).cast("int")
+    fraction = size * F.pow(F.lit(2.0), -exponent) - 1.0  # powers of two are exact, so this is too
+    key = (exponent + 1023).cast("bigint") * F.lit(1 << 52) + F.floor(fraction * F.lit(2.0**52))
+    return F.when(value < 0, -key).otherwise(key)
+
 
+def long_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Rows ``keys``, ``column``, ``q``: the quantiles of several columns, per group if keyed. Nothing runs yet.
 
-@dataclass
-class _Rank:
-    """One order statistic being narrowed: it lies in the closed range ``lo``..``hi``."""
-
-    rank: int
-    lo: float = -math.inf
-    hi: float = math.inf
-    value: float | None = None
-    place: int | None = None  # position among the values strictly inside the range
-
-    @property
-    def open(self) -> bool:
-        return self.value is None and self.place is None
-
-
-def _narrow(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """Quantiles of the few hot groups; the driver holds ranges, never the values."""
-    rows = stabilise(rows)
-    spark, by = rows.sparkSession, [col(k) for k in keys]
-    key_types = [rows.schema[k] for k in keys]
-    sizes = {
-        tuple(r[k] for k in keys): r["n"]
-        for r in rows.groupBy(*by).agg(F.count("v").alias("n")).collect()
-    }
-    ranks = {
-        key: [_Rank(edge((n - 1) * p)) for p in probs for edge in (math.floor, math.ceil)]
-        for key, n in sizes.items()
-    }
-
-    def ranges(found: list[_Rank]) -> list[tuple[float, float]]:
-        """Different ranges only: neighbouring ranks nearly always share theirs."""
-        return list(dict.fromkeys((r.lo, r.hi) for r in found if r.value is None))
-
-    def small_table(name: str, kind: T.DataType, cells) -> DataFrame:
-        schema = T.StructType([*key_types, T.StructField(name, T.ArrayType(kind))])
-        return F.broadcast(spark.createDataFrame([(*key, cells(found)) for key, found in ranks.items()], schema))
-
-    def measure(**picks) -> DataFrame:
-        """One pass over the values: ``picks`` of every range, one row per group."""
-        edges = small_table("edges", _struct(lo=T.DoubleType(), hi=T.DoubleType()), ranges)
-        width = max(len(ranges(found)) for found in ranks.values())
-        aggs = [
-            F.array(*[pick(F.col("v"), F.get("edges", F.lit(i))) for i in range(width)]).alias(name)
-            for name, pick in picks.items()
-        ]
-        return rows.join(edges, keys).groupBy(*by).agg(*aggs)
-
-    def inside(v: Column, edge: Column) -> Column:
-        return F.when((v > edge["lo"]) & (v < edge["hi"]), v)
-
-    cuts = F.array(*[F.lit(j / GRID) for j in range(GRID + 1)])
-    while any(r.open for found in ranks.values() for r in found):
-        seen = measure(
-            upto=lambda v, e: F.count_if(v <= e["lo"]),
-            under=lambda v, e: F.count_if(v < e["hi"]),
-            grid=lambda v, e: F.percentile_approx(inside(v, e), cuts, ACCURACY),
-        ).collect()
-        for row in seen:
-            found = ranks[tuple(row[k] for k in keys)]
-            slots = {edge: i for i, edge in enumerate(ranges(found))}
-            for r in [r for r in found if r.open]:
-                i = slots[r.lo, r.hi]
-                upto, under, grid = row["upto"][i], row["under"][i], row["grid"][i]
-                if r.rank < upto:
-                    r.value = r.lo
-                elif r.rank >= under:
-                    r.value = r.hi
-                elif under - upto <= BRACKET_ROWS:
-                    r.place = r.rank - upto
-                else:
-                    # The sketch is off by at most 1/ACCURACY; a whole grid step is ample.
-                    share = (r.rank - upto) / (under - upto) * GRID
-                    low, high = math.floor(share) - 1, math.ceil(share) + 2
-                    r.lo, r.hi = (
-                        grid[low] if low >= 0 else r.lo,
-                        grid[high] if high <= GRID else r.hi,
-                    )
-
-    values = {key: [r.value for r in found] for key, found in ranks.items()}
-    if any(r.value is None for found in ranks.values() for r in found):
-        # What is left inside each range is few enough to sort; pick the places from it.
-        def places(found: list[_Rank]):
-            slots = {edge: i for i, edge in enumerate(ranges(found))}
-            return [(slots[r.lo, r.hi], r.place) if r.value is None else None for r in found]
-
-        wanted = small_table("places", _struct(slot=T.IntegerType(), place=T.IntegerType()), places)
-        sorted_ = measure(inside=lambda v, e: F.sort_array(F.collect_list(inside(v, e)))).join(wanted, keys)
-        picked = F.transform("places", lambda p: F.get(F.get("inside", p["slot"]), p["place"]))
-        for row in sorted_.select(*by, picked.alias("values")).collect():
-            key = tuple(row[k] for k in keys)
-            values[key] = [b if a is None else a for a, b in zip(values[key], row["values"])]
-
-    answers = []
-    for key, stats in values.items():
-        q = []
-        for p, a, b in zip(probs, stats[::2], stats[1::2]):
-            part = (sizes[key] - 1) * p % 1
-            q.append(a if a == b else a * (1 - part) + b * part)
-        answers.append((*key, q))
-    out = T.StructType([*key_types, T.StructField("q", T.ArrayType(T.DoubleType()))])
-    return spark.createDataFrame(answers, out)
-
-
-def _struct(**fields: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+    Columns and groups without a value are absent. ``df`` is read once per
+    pass, three times.
+    """
+    by = [*keys, "column"]
+    cells = [F.struct(F.lit(c).alias("column"), number(col(c)).alias("__v")) for c in columns]
+    values = df.select(*map(col, keys), F.inline(F.array(*cells))).filter("__v IS NOT NULL")
+    values = values.withColumn("__key", sort_key(F.col("__v")))
+
+    ranks = [edge((F.col("__all") - 1) * F.lit(float(p))).cast("bigint") for p in probs for edge in (F.floor, F.ceil)]
+    held, brackets = by, None
+    for before, shift in zip((64, *SHIFTS), SHIFTS):
+        binned = values.withColumn("__bin", F.shiftright("__key", shift) if shift else F.col("__v"))
+        if brackets is not None:
+            # without keys a bracket table has two rows per column and probability at most
+            binned = binned.withColumn("__prior", F.shiftright("__key", before)).join(brackets if keys else F.broadcast(brackets), held)
+        # a bracket's total and ranks are the same for all its bins
+        carried = [] if brackets is None else ["__all", "__ranks"]
+        bins = binned.groupBy(*map(col, held), "__bin", *carried).agg(F.count("*").alias("__n"), F.min("__v").alias("__v"))
+        inside = Window.partitionBy(*map(col, held))
+        running = inside.orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        bins = bins.withColumn("__below", F.sum("__n").over(running) - F.col("__n"))
+        if brackets is None:
+            bins = bins.withColumn("__all", F.sum("__n").over(inside)).withColumn("__ranks", F.array(*ranks))
+        here = F.transform("__ranks", lambda r: F.when((r >= F.col("__below")) & (r < F.col("__below") + F.col("__n")), r - F.col("__below")))
+        bins = bins.select(*map(col, by), F.col("__bin").alias("__prior"), "__all", "__v", here.alias("__ranks"))
+        bins = bins.filter(F.exists("__ranks", lambda r: r.isNotNull()))
+        brackets = bins.drop("__v")
+        held = [*by, "__prior"]
+
+    found = [F.max(F.when(F.get("__ranks", F.lit(i)).isNotNull(), F.col("__v"))).alias(f"__q{i}") for i in range(len(ranks))]
+    stats = bins.groupBy(*map(col, by)).agg(F.max("__all").alias("__all"), *found)
+
+    def between(i: int, p: float) -> Column:
+        low, high = F.col(f"__q{2 * i}"), F.col(f"__q{2 * i + 1}")
+        part = F.pmod((F.col("__all") - 1) * F.lit(float(p)), F.lit(1.0))
+        return F.when(low == high, low).otherwise(low * (1 - part) + high * part)
+
+    return stats.select(*map(col, by), F.array(*[between(i, p) for i, p in enumerate(probs)]).alias("q"))

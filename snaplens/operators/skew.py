@@ -1,77 +1,35 @@
-"""Hot keys: find them in one bounded pass, then keep them off single tasks.
-
-A key that holds a large share of the rows must not be hashed to one task. The
-operators that need all rows of a key together ask ``hot_keys`` first and send
-those few keys down a path that aggregates map-side and broadcasts the result.
-The split is exact whichever keys are called hot; the list only steers the plan.
-"""
+"""Joins back onto rows whose keys may be skewed."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from snaplens.roles import col
 
-HOT_ROWS = 1_000_000  # a key with this many rows leaves the ordinary path
-MAX_HOT = 10_000  # bounds the list, hence the broadcasts
-FAN_IN = 1_000  # groups of tasks whose sketches are merged first
-TRACKED = 65_536  # counters in the sketch: misses no key above ~1/18,000 of the rows
+NULL_PARTS = 1024  # how far rows with a null key are spread
 
 
 def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[col(k) for k in keys])
 
 
-def is_hot(keys: Sequence[str], hot: Sequence[int]) -> Column:
-    return key_hash(keys).isin(list(hot))
-
-
-def hot_keys(df: DataFrame, *key_sets: Sequence[str], rows: int | None = None) -> list[list[int]]:
-    """Hashes of the keys with at least ``rows`` rows, one list per key set.
-
-    One scan of the key columns with a frequent-items sketch, and no shuffle of the
-    keys. The tasks' sketches are merged in two steps, so that no task reads them
-    all; at most ``MAX_HOT`` hashes per key set reach the driver. A null key counts
-    as a key.
-    """
-    floor = HOT_ROWS if rows is None else rows
-    names = [f"k{i}" for i in range(len(key_sets))]
-    hashed = df.select(
-        (F.spark_partition_id() % FAN_IN).alias("part"),
-        *[key_hash(keys).alias(name) for name, keys in zip(names, key_sets)],
-    )
-    near = hashed.groupBy("part").agg(
-        *[F.call_function("approx_top_k_accumulate", F.col(n), F.lit(TRACKED)).alias(n) for n in names]
-    )
-    merged = near.groupBy(F.lit("all")).agg(  # keyed, because an empty table has no sketch to merge
-        *[F.call_function("approx_top_k_combine", F.col(n), F.lit(TRACKED)).alias(n) for n in names]
-    )
-
-    def large(name: str) -> Column:
-        found = F.call_function("approx_top_k_estimate", F.col(name), F.lit(MAX_HOT))
-        return F.transform(F.filter(found, lambda k: k["count"] >= floor), lambda k: k["item"])
-
-    row = merged.select(*map(large, names)).first()
-    return [list(hashes) for hashes in row] if row else [[] for _ in names]
-
-
-def lookup_join(
-    rows: DataFrame, table: DataFrame, keys: Sequence[str], hot: Sequence[int] | None = None
-) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of ``table``, which holds one row per key, onto ``rows``.
 
-    Rows of hot keys meet a broadcast of at most ``MAX_HOT`` table rows and are
-    never shuffled; the others take the join Spark picks from the table's size.
+    The table side has one row per key, so adaptive execution can split a hot key's rows over any
+    number of tasks and send each its row. Rows with a null key match nothing; they are dealt by a
+    hash of their other values, not all to the task that nulls hash to.
     """
     keys = list(keys)
     order = rows.columns + [c for c in table.columns if c not in keys]
-    hot = hot_keys(rows, keys)[0] if hot is None else hot
-    if not hot:
-        return rows.join(table, keys, "left").select(*map(col, order))
-    inside = is_hot(keys, hot)
-    cold = rows.filter(~inside).join(table.filter(~inside), keys, "left")
-    warm = rows.filter(inside).join(F.broadcast(table.filter(inside)), keys, "left")
-    return cold.select(*map(col, order)).unionByName(warm.select(*map(col, order)))
+    plain = [col(f.name) for f in rows.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    unknown = reduce(or_, [col(k).isNull() for k in keys])
+    spread = F.when(unknown, F.pmod(F.xxhash64(*plain), F.lit(NULL_PARTS)).cast("int")).otherwise(0)
+    joined = rows.withColumn("__spread", spread).join(table.withColumn("__spread", F.lit(0)), [*keys, "__spread"], "left")
+    return joined.select(*map(col, order))

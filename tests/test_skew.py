@@ -1,13 +1,14 @@
-"""Hot keys: results must not depend on which keys are called hot."""
+"""Hot keys: results must not depend on how rows are spread, and no task may need a whole key."""
 
 import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from snaplens import Roles, add_features, bar_chart, box_plot, latest_snapshot
-from snaplens.operators import skew
-from snaplens.operators.features import features
+from snaplens import Roles, add_features, latest_snapshot
+from snaplens.operators.features import PREVIOUS, features, with_previous
+from snaplens.operators.skew import lookup_join
 
 ROLES = Roles(id="id", snapshot="at", stage="stage", owner="owner", tie=("tie",), won=("won",), lost=("lost",))
 ALL = [n for n, f in features().items() if f.value is not None or n.startswith("user_")]
@@ -24,61 +25,98 @@ def skewed(spark):
         stage = rng.choice(["new", "open", "won", "lost", None])
         rows.append((key, at, stage, rng.choice(["a", "b", " ", None, "c", "d"]), float(rng.randint(0, 99)), i))
     schema = "id int, at timestamp_ntz, stage string, owner string, value double, tie int"
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(rows, schema).repartition(6)
 
 
 def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-def test_hot_keys_finds_the_large_ones(skewed):
-    (hot,) = skew.hot_keys(skewed, ["id"], rows=80)
-    found = {r["id"] for r in skewed.filter(skew.is_hot(["id"], hot)).select("id").distinct().collect()}
-    assert found == {1, None}
-    assert skew.hot_keys(skewed, ["id"], ["owner", "id"], rows=10_000) == [[], []]
+def previous_of(rows):
+    """Date and stage of the row before, by id, date (undated last) and tie."""
+    out, last = {}, {}
+    for r in sorted(rows, key=lambda r: (r["at"] is None, r["at"] or datetime.min, r["tie"])):
+        out[r["tie"]] = last.get(r["id"])
+        last[r["id"]] = (r["at"], r["stage"])
+    return {k: v for k, v in out.items()}
 
 
-@pytest.mark.parametrize("threshold", [80, 1])
-def test_features_do_not_depend_on_hot_keys(skewed, monkeypatch, threshold):
+@pytest.mark.parametrize("ranges", [1, 4, 40, 400])
+def test_previous_row_over_any_number_of_ranges(spark, skewed, ranges):
+    want = previous_of(skewed.filter("id is not null").collect())
+    got = {r["tie"]: r[PREVIOUS] and tuple(r[PREVIOUS]) for r in with_previous(skewed, ROLES, ranges).filter("id is not null").collect()}
+    assert got == want
+
+
+def test_one_id_on_one_day_is_sorted_by_many_tasks(spark):
+    rows = [(7, datetime(2024, 5, 1), f"s{i % 3}", i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id int, at timestamp_ntz, stage string, tie int").repartition(5)
+    roles = Roles(id="id", snapshot="at", stage="stage", tie=("tie",))
+    stepped = with_previous(df, roles, ranges=64)
+    got = {r["tie"]: r[PREVIOUS] and r[PREVIOUS]["stage"] for r in stepped.collect()}
+    assert got == {i: f"s{(i - 1) % 3}" if i else None for i in range(4000)}
+    sizes = [r["count"] for r in _ranges(df, roles, 64).groupBy("__range").count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 400
+
+
+def _ranges(df, roles, ranges):
+    """The rows as they are dealt, read from the plan's own range column."""
+    seen = {}
+    drop = type(df).drop
+
+    def keep(self, *names):
+        if names == ("__range", "__carried"):
+            seen["df"] = self
+        return drop(self, *names)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(df), "drop", keep)
+        with_previous(df, roles, ranges)
+    return seen["df"]
+
+
+def test_features_do_not_depend_on_the_layout(spark, skewed):
     plain = rows_of(add_features(skewed, ROLES, ALL))
-    monkeypatch.setattr(skew, "HOT_ROWS", threshold)
-    assert rows_of(add_features(skewed, ROLES, ALL)) == plain
+    assert rows_of(add_features(skewed.repartition(1), ROLES, ALL)) == plain
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows_of(add_features(skewed, ROLES, ALL)) == plain
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_building_features_runs_no_job(spark, skewed):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "building only")
+    try:
+        add_features(skewed, ROLES, ALL)
+        assert list(tracker.getJobIdsForGroup("build")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_hot_ids_stay_out_of_per_id_windows(skewed, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_ROWS", 80)
-    df = add_features(skewed, ROLES, ["days_in_pipeline"])
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert "Union" in plan and plan.count("Window [") == 1
+def test_no_rows_of_an_id_are_gathered(skewed):
+    plan = add_features(skewed, ROLES, [n for n in ALL if n != "user_activity_rating"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "windowspecdefinition(id" not in plan
 
 
-def test_lookup_join_keeps_every_row(spark, skewed, monkeypatch):
+def test_lookup_join_keeps_every_row(spark, skewed):
     table = spark.createDataFrame([(1, "x"), (2, "y"), (99, "z")], "id int, name string")
     expected = rows_of(skewed.join(table, ["id"], "left").select(*skewed.columns, "name"))
-    assert rows_of(skew.lookup_join(skewed, table, ["id"])) == expected
-    monkeypatch.setattr(skew, "HOT_ROWS", 50)
-    joined = skew.lookup_join(skewed, table, ["id"])
-    assert "Union" in joined._jdf.queryExecution().optimizedPlan().toString()
-    assert rows_of(joined) == expected
+    assert rows_of(lookup_join(skewed, table, ["id"])) == expected
 
 
-def test_reports_do_not_depend_on_hot_groups(skewed, monkeypatch):
-    def reports():
-        return [rows_of(bar_chart(skewed, ROLES, "owner", "value", "median", group_by="stage")),
-                rows_of(box_plot(skewed, ROLES, "owner", "value"))]
-
-    plain = reports()
-    monkeypatch.setattr(skew, "HOT_ROWS", 3)
-    assert reports() == plain
+def test_null_keys_are_spread(spark):
+    rows = spark.range(5000).select(F.lit(None).cast("int").alias("id"), F.col("id").alias("n"))
+    table = spark.range(10).select(F.col("id").cast("int").alias("id"), F.lit("x").alias("name"))
+    joined = lookup_join(rows, table.hint("merge"), ["id"])
+    held = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 5000 and max(held) < 5000
 
 
 def test_dedup_sends_one_row_per_key_and_task(skewed):
     plan = latest_snapshot(skewed, ROLES)._jdf.queryExecution().executedPlan().toString()
     partial, exchange = plan.rindex("WindowGroupLimit"), plan.index("Exchange hashpartitioning")
     assert partial > exchange  # the limit runs below, that is before, the exchange
-
-
-def test_entity_features_share_one_exchange(skewed):
-    names = [n for n in ALL if not n.startswith("user_")]
-    plan = add_features(skewed, ROLES, names, hot=[])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
