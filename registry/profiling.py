@@ -70,6 +70,22 @@ def _(spark, folder):
     return reduce(DataFrame.unionByName, tables)
 
 
+@query(
+    "profile_types_text_dates",
+    """SELECT 'shipped' AS column, 0 AS position, CASE WHEN count(*) FILTER (l_linenumber < 7) / count(*) > 0.8 THEN 'date'
+        ELSE 'text' END AS type, count(*) AS non_null FROM lineitem
+    UNION ALL SELECT 'noted', 1, CASE WHEN count(*) FILTER (l_linenumber < 6) / count(*) > 0.8 THEN 'date' ELSE 'text' END,
+        count(*) FROM lineitem""",
+)
+def _(spark, folder):
+    """Texts that are dates but for some line numbers: one column above four fifths of them, one below."""
+    day = F.date_format("l_shipdate", "d-MMM-yyyy")
+    other = F.concat(F.lit("line "), F.col("l_orderkey").cast("string"))
+    return type_table(table(spark, folder, "lineitem").select(
+        F.when(F.col("l_linenumber") < 7, day).otherwise(other).alias("shipped"),
+        F.when(F.col("l_linenumber") < 6, day).otherwise(other).alias("noted")))
+
+
 @query(
     "profile_types_added",
     f"""SELECT 'o_totalprice' AS column, 0 AS position, 'numerical' AS type, count(o_totalprice) AS non_null FROM orders
@@ -193,25 +209,26 @@ def _(spark, folder):
     return validate(df, Roles())
 
 
-GAPS = {"doc_id": Semantic.CATEGORICAL, "lang": Semantic.CATEGORICAL, "text": Semantic.TEXT, "n_chars": Semantic.NUMERICAL}
+GAPS = {
+    "doc_id": Semantic.CATEGORICAL, "quality": Semantic.CATEGORICAL, "text": Semantic.TEXT, "remark": Semantic.TEXT,
+    "toxic": Semantic.NUMERICAL,
+}
 
 
 @query(
     "fill_missing",
-    """SELECT nullif(CAST(doc_id AS VARCHAR), '7') AS doc_id, coalesce(nullif(lang, 'en'), 'Unknown') AS lang,
-    length(CASE WHEN n_chars > 1000 THEN text ELSE '' END) AS kept, CASE WHEN n_chars > 1000 THEN n_chars END AS n_chars
-    FROM documents""",
+    """SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, coalesce(CAST(quality AS VARCHAR), 'Unknown') AS quality,
+    md5(coalesce(text, '')) AS text, CASE WHEN quality IS NULL THEN '' ELSE text END = '' AS no_remark, toxic
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
 )
 def _(spark, folder):
-    long = F.col("n_chars") > 1000
-    df = table(spark, folder, "documents").select(
-        F.nullif(F.col("doc_id").cast("string"), F.lit("7")).alias("doc_id"),
-        F.nullif("lang", F.lit("en")).alias("lang"),
-        F.when(long, F.col("text")).alias("text"),
-        F.when(long, F.col("n_chars")).alias("n_chars"),
-    )
+    """Labels cover some documents; the others miss their quality, a number and a remark."""
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"), "toxic")
+    df = table(spark, folder, "documents").join(labels, "doc_id", "left").select(
+        F.col("doc_id").cast("string").alias("doc_id"), "quality", "text",
+        F.when(F.col("quality").isNotNull(), F.col("text")).alias("remark"), "toxic")
     filled = fill_missing(df, GAPS, Roles(id="doc_id"))
-    return filled.select("doc_id", "lang", F.length("text").cast("bigint").alias("kept"), "n_chars")
+    return filled.select("doc_id", "quality", F.md5("text").alias("text"), (F.col("remark") == "").alias("no_remark"), "toxic")
 
 
 @query(
@@ -219,7 +236,7 @@ def _(spark, folder):
     """SELECT CASE WHEN n_chars % 7 <> 0 THEN n_chars::DOUBLE END AS amount, doc_id % 2 = 0 AS even,
     TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 300 AS INT)) AS "Snapshot Date",
     CASE WHEN doc_id % 3 = 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 300 AS INT)) END AS created_date,
-    CAST(doc_id AS VARCHAR) AS doc_id FROM documents""",
+    CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text FROM documents""",
 )
 def _(spark, folder):
     """Strings of every kind, some of them unparseable, cast back to their types."""
@@ -230,13 +247,13 @@ def _(spark, folder):
         F.when(doc % 2 == 0, "True").otherwise("false").alias("even"),
         F.date_format(day, "M/dd/yyyy").alias("Snapshot Date"),
         F.when(doc % 3 == 0, day.cast("string")).otherwise("someday").alias("created_date"),
-        "doc_id",
+        "doc_id", "text",
     )
     types = {
         "amount": Semantic.NUMERICAL, "even": Semantic.BOOLEAN, "Snapshot Date": Semantic.DATE,
-        "created_date": Semantic.DATE, "doc_id": Semantic.CATEGORICAL,
+        "created_date": Semantic.DATE, "doc_id": Semantic.CATEGORICAL, "text": Semantic.TEXT,
     }
-    return cast_types(df, types)
+    return cast_types(df, types).withColumn("text", F.md5("text"))
 
 
 @query(

@@ -323,11 +323,44 @@ _series("rpt_ts_grouped", "M", "mean", "l_returnflag", "l_quantity")
 
 @query(
     "rpt_ts_gaps",
+    series_sql(EVENTS_SQL, "ts", "user_id", "ts", "event_id", "value", "D", "sum", "user_id"),
+)
+def _(spark, folder):
+    """A user has events on few days, so that most of their days are gaps."""
+    return tidy(time_series(event_snapshots(spark, folder), EVENT_ROLES, "ts", "value", "D", "sum", "user_id"), value=2)
+
+
+@query("rpt_bar_nan", f"SELECT k, round(coalesce(sum(value), 0), 2) AS value FROM ({NAN_EVENTS}) WHERE k IS NOT NULL GROUP BY 1")
+def _(spark, folder):
+    return tidy(bar_chart(with_nan(event_snapshots(spark, folder)), EVENT_ROLES, "k", "value", "sum"), value=2)
+
+
+@query("rpt_bar_median_nan", f"SELECT event_type, round(quantile_cont(value, 0.5), 6) AS value FROM ({NAN_EVENTS}) GROUP BY 1")
+def _(spark, folder):
+    return tidy(bar_chart(with_nan(event_snapshots(spark, folder)), EVENT_ROLES, "event_type", "value", "median"))
+
+
+@query("rpt_line_nan", f"SELECT user_id, round(avg(value), 6) AS value FROM ({NAN_EVENTS}) GROUP BY 1")
+def _(spark, folder):
+    return tidy(line_chart(with_nan(event_snapshots(spark, folder)), EVENT_ROLES, "user_id", "value", "mean"))
+
+
+@query("rpt_box_nan", box_sql(NAN_EVENTS, "event_type", "value"))
+def _(spark, folder):
+    return tidy(box_plot(with_nan(event_snapshots(spark, folder)), EVENT_ROLES, "event_type", "value"))
+
+
+@query("rpt_corr_nan", corr_sql(NAN_EVENTS, ["value", "user_id"]))
+def _(spark, folder):
+    return tidy(correlation_matrix(with_nan(event_snapshots(spark, folder)), EVENT_ROLES, ["value", "user_id"]))
+
+
+@query(
+    "rpt_ts_nan",
     series_sql(
-        f"SELECT * FROM ({EVENTS_SQL}) WHERE value > 150", "ts", "user_id", "ts", "event_id", "value", "D", "sum", "k"
+        f"SELECT * REPLACE (CASE WHEN event_id % 7 <> 0 THEN value END AS value) FROM ({EVENTS_SQL})",
+        "ts", "user_id", "ts", "event_id", "value", "D", "sum",
     ),
 )
 def _(spark, folder):
-    """Few events per owner and day, so that most days are gaps."""
-    df = event_snapshots(spark, folder).filter("value > 150")
-    return tidy(time_series(df, EVENT_ROLES, "ts", "value", "D", "sum", "k"), value=2)
+    return tidy(time_series(with_nan(event_snapshots(spark, folder)), EVENT_ROLES, "ts", "value", "D", "sum"), value=2)

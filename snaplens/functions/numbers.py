@@ -29,9 +29,3 @@ def std(value: Column) -> Column:
     """Sample standard deviation, null below two values."""
     return F.when(F.count(value) > 1, F.stddev_samp(value))
 
-
-def correlation(a: Column, b: Column) -> Column:
-    """Pearson's r over rows where both are present; null if either is constant."""
-    left = F.when(b.isNotNull(), a)
-    right = F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(left) * F.stddev_pop(right))

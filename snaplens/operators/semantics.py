@@ -39,6 +39,7 @@ DATE_FORMATS = (
     "MMMM d, yyyy",
 )
 BOOLEAN_WORDS = {"True": True, "TRUE": True, "true": True, "False": False, "FALSE": False, "false": False}
+KEPT_LOG2 = 10  # hashes kept per column, as a power of two; the rules ask for 50 at most
 FILL = {Semantic.CATEGORICAL: "Unknown", Semantic.TEXT: ""}
 
 _DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -90,6 +91,12 @@ def is_number(data_type: T.DataType) -> bool:
     return isinstance(data_type, T.NumericType)
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """The column, where NaN counts as missing."""
+    floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    return F.nullif(col(name), F.lit(float("nan"))) if floating else col(name)
+
+
 def blank_nan(df: DataFrame) -> DataFrame:
     """NaN counts as missing."""
     floats = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
@@ -99,51 +106,51 @@ def blank_nan(df: DataFrame) -> DataFrame:
 
 
 def detect_types(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, Semantic]:
-    """Semantic type per column, from names, physical types and values.
+    """Semantic type per column, from names, physical types and values, in one pass.
 
-    Values are only looked at where the name does not settle the type. Texts are
-    tested in long form, so that the tests compile once and not once per column.
-    Distinct counts are approximate first; a last pass counts exactly the columns
-    whose type hangs on it. One row of counts per column reaches the driver.
+    Every cell becomes a row of its column: a 64-bit hash, and the text where the type hangs on it. Per
+    column the smallest ``2**KEPT_LOG2`` different hashes are kept as mergeable state, so that
+    distinct counts are exact up to there (no rule asks further), beside the counts of texts that parse.
+    One row of counts per column reaches the driver.
     """
     columns = list(df.columns if columns is None else columns)
     if not columns:
         return {}
+    seen = type_counts(df, columns)
     kind = {f.name: f.dataType for f in df.schema}
-    open_ = [c for c in columns if _by_name(c) is None]
-    texts = [c for c in open_ if isinstance(kind[c], T.StringType)]
-    numbers = [c for c in open_ if is_number(kind[c])]
-
-    aggs = [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]
-    aggs += [F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(columns) if c in numbers]
-    row = df.agg(*aggs).first().asDict()
-    seen = {c: {"n": row[f"n{i}"], "distinct": row.get(f"d{i}", 0)} for i, c in enumerate(columns)}
-
-    if texts:
-        pairs = [F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in texts]
-        value = F.col("value")
-        tested = (
-            df.select(F.inline(F.array(*pairs)))
-            .filter(value.isNotNull())
-            .groupBy("column")
-            .agg(
-                F.count(parse_number(value)).alias("number"),
-                F.count_if(value.isin(*BOOLEAN_WORDS)).alias("bool"),
-                F.count(parse_date(value)).alias("date"),
-                F.approx_count_distinct(value).alias("distinct"),
-            )
-        )
-        for r in tested.collect():
-            seen[r["column"]].update(r.asDict())
-
-    unsure = [c for c in texts + numbers if 0 < seen[c]["distinct"] <= 2 * STRING_CATEGORY_LIMIT]
-    if unsure:
-        exact = df.agg(*[F.count_distinct(col(c)) for c in unsure]).first()
-        for c, distinct in zip(unsure, exact):
-            seen[c]["distinct"] = distinct
     return {c: _rule(c, kind[c], seen[c]) for c in columns}
 
 
+def type_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, int]]:
+    """Per column: ``n`` values, ``distinct`` ones, and how many are written as ``number``, ``bool`` and ``date``."""
+    kind = {f.name: f.dataType for f in df.schema}
+
+    def cell(c: str) -> Column:
+        open_ = _by_name(c) is None
+        text = isinstance(kind[c], T.StringType)
+        value = col(c) if open_ and text else F.lit(None).cast("string")
+        digest = F.xxhash64(col(c)) if open_ and (text or is_number(kind[c])) else F.lit(None).cast("bigint")
+        return F.struct(
+            F.lit(c).alias("column"), col(c).isNotNull().alias("present"),
+            F.when(col(c).isNotNull(), digest).alias("digest"), value.alias("value"))
+
+    value = F.col("value")
+    counted = (
+        df.select(F.inline(F.array(*[cell(c) for c in columns])))
+        .groupBy("column")
+        .agg(
+            F.count_if("present").alias("n"),
+            F.theta_sketch_estimate(F.theta_sketch_agg("digest", KEPT_LOG2)).alias("distinct"),
+            F.count(parse_number(value)).alias("number"),
+            F.count_if(value.isin(*BOOLEAN_WORDS)).alias("bool"),
+            F.count(parse_date(value)).alias("date"),
+        )
+    )
+    none = dict.fromkeys(("n", "distinct", "number", "bool", "date"), 0)
+    found = {r["column"]: r.asDict() for r in counted.collect()}
+    return {c: none | found.get(c, {}) for c in columns}
+
+
 def _by_name(name: str) -> Semantic | None:
     lower = name.lower()
     if "date" in lower or "time" in lower:
@@ -159,9 +166,9 @@ def _rule(name: str, kind: T.DataType, seen: Mapping[str, int]) -> Semantic:
         return by_name
     if isinstance(kind, _DATES):
         return Semantic.DATE
-    if isinstance(kind, T.BooleanType) or seen.get("bool") == n:
+    if isinstance(kind, T.BooleanType) or seen["bool"] == n:
         return Semantic.BOOLEAN
-    if is_number(kind) or seen.get("number") == n:
+    if is_number(kind) or seen["number"] == n:
         few = seen["distinct"] / n < NUMERIC_CATEGORY_SHARE and seen["distinct"] < NUMERIC_CATEGORY_LIMIT
         return Semantic.CATEGORICAL if few else Semantic.NUMERICAL
     if isinstance(kind, T.StringType):
@@ -173,20 +180,18 @@ def _rule(name: str, kind: T.DataType, seen: Mapping[str, int]) -> Semantic:
 
 
 def type_table(df: DataFrame, types: Mapping[str, Semantic] | None = None) -> DataFrame:
-    """Columns ``column``, ``position``, ``type`` and ``non_null``, one row per column."""
-    types = detect_types(df) if types is None else types
-    names = [c for c in df.columns if c in types]
-    counted = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)])
-    rows = F.array(*[
-        F.struct(
-            F.lit(c).alias("column"),
-            F.lit(i).alias("position"),
-            F.lit(types[c].value).alias("type"),
-            F.col(f"n{i}").alias("non_null"),
-        )
-        for i, c in enumerate(names)
-    ])
-    return counted.select(F.inline(rows))
+    """Columns ``column``, ``position``, ``type`` and ``non_null``, one row per column, from one pass over ``df``."""
+    kind = {f.name: f.dataType for f in df.schema}
+    names = [c for c in df.columns if types is None or c in types]
+    if types is None:
+        seen = type_counts(df, names)
+        types = {c: _rule(c, kind[c], seen[c]) for c in names}
+        counts = {c: seen[c]["n"] for c in names}
+    else:
+        row = df.agg(*[F.count(col(c)) for c in names]).first() if names else ()
+        counts = dict(zip(names, row))
+    rows = [(c, i, types[c].value, counts[c]) for i, c in enumerate(names)]
+    return df.sparkSession.createDataFrame(rows, "column string, position int, type string, non_null bigint")
 
 
 def extend_types(df: DataFrame, types: Mapping[str, Semantic]) -> dict[str, Semantic]:

@@ -7,16 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snaplens.functions.dates import PERIODS, epoch_seconds, from_epoch_seconds, period_end, period_step
-from snaplens.functions.numbers import correlation
 from snaplens.operators.filters import clip_upper
 from snaplens.operators.profile import GROUP, column_stats
-from snaplens.operators.quantiles import column_quantiles, group_quantiles
-from snaplens.operators.semantics import Semantic, detect_types, is_number
+from snaplens.operators.quantiles import column_quantiles, group_quantiles, number
+from snaplens.operators.semantics import Semantic, detect_types, is_number, present
 from snaplens.operators.skew import lookup_join
 from snaplens.operators.snapshots import latest_per_period, latest_snapshot
 from snaplens.roles import Roles, col
@@ -57,14 +58,14 @@ def _keep_group(df: DataFrame, group: str | None) -> tuple[DataFrame, list[str]]
 
 
 def aggregate(df: DataFrame, keys: Sequence[str], y: str, how: str) -> DataFrame:
-    """Columns ``keys`` and ``value``; null keys drop out, a sum over nothing is 0."""
+    """Columns ``keys`` and ``value``; null keys drop out, a sum over nothing is 0. NaN is missing."""
     if how not in AGGREGATIONS:
         raise ValueError(f"unknown aggregation {how!r}; use one of {', '.join(AGGREGATIONS)}")
     for key in keys:
         df = df.filter(col(key).isNotNull())
-    value, by = col(y), [col(k) for k in keys]
+    value, by = present(df, y), [col(k) for k in keys]
     if how == "median":
-        df = stabilise(df.select(*by, value))  # read by several passes
+        df = stabilise(df.select(*by, value.alias(y)))  # read by several passes
         middle = group_quantiles(df, keys, y, [0.5]).select(*by, F.col("q")[0].alias("value"))
         return df.select(*by).distinct().join(middle, list(keys), "left")
     agg: dict[str, Column] = {
@@ -227,7 +228,7 @@ def scatter_plot(
     if not sized:
         return points
     points = stabilise(points)  # read twice
-    reference = F.lit(2.0) * F.max("size") / F.lit(40.0**2)
+    reference = F.lit(2.0) * F.max(present(points, "size")) / F.lit(40.0**2)
     if keys:
         return lookup_join(points, points.groupBy(*keys).agg(reference.alias("size_ref")), keys)
     return points.withColumn("size_ref", points.agg(reference.alias("r")).scalar())
@@ -245,31 +246,67 @@ def correlation_matrix(
     if len(usable) < 2:
         raise ValueError("a correlation needs at least two numeric columns")
     latest = latest_snapshot(df, roles)
+    values = latest.select(*[
+        number(col(c).cast("int") if isinstance(kinds[c], T.BooleanType) else col(c)).alias(f"c{i}")
+        for i, c in enumerate(usable)
+    ])
+    values = stabilise(values)  # read twice
+    # sums of squares are taken around a value near the mean, so that they lose no digits
+    centre = values.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in values.columns])
+    named = F.array(*[F.lit(c) for c in usable])
+    near = centre.select(F.lit(0).alias("one"), F.array(*values.columns).alias("centre"))
+    cells = values.select(F.lit(0).alias("one"), F.array(*values.columns).alias("x")).join(F.broadcast(near), "one")
+    sums = cells.select("x", "centre").mapInArrow(_co_moments(), "i int, j int, n double, " + ", ".join(f"{c} double" for c in CO_MOMENTS))
+    total = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", *CO_MOMENTS)])
+    spread_x = F.col("xx") - F.col("x") * F.col("x") / F.col("n")
+    spread_y = F.col("yy") - F.col("y") * F.col("y") / F.col("n")
+    together = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
+    # what is left of a constant after centring is rounding, some 1e-16 of its squares
+    varies = (F.col("n") > 1) & (spread_x > 1e-14 * F.col("xx")) & (spread_y > 1e-14 * F.col("yy"))
+    r = F.when(varies, F.when(F.col("i") == F.col("j"), 1.0).otherwise(together / F.sqrt(spread_x * spread_y)))
+    pairs = [(i, j) for i in range(len(usable)) for j in range(i, len(usable))]
+    wanted = df.sparkSession.createDataFrame(pairs, "i int, j int")  # a pair without a common row has no sums
+    found = wanted.join(total.select("i", "j", r.alias("r")), ["i", "j"], "left")
+    both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    return (
+        found.select("r", F.inline(F.array_distinct(both)))
+        .select(F.get(named, F.col("i")).alias("col_a"), F.get(named, F.col("j")).alias("col_b"), "r")
+    )
 
-    def number(c: str) -> Column:
-        return (col(c).cast("int") if isinstance(kinds[c], T.BooleanType) else col(c)).cast("double")
 
-    pairs = [(i, j) for i in range(len(usable)) for j in range(i, len(usable))]
+CO_MOMENTS = ("x", "y", "xx", "yy", "xy")
 
-    def r(i: int, j: int) -> Column:
-        a, b = number(usable[i]), number(usable[j])
-        return F.when(F.stddev_pop(a) > 0, F.lit(1.0)) if i == j else correlation(a, b)
 
-    found = latest.agg(*[r(i, j).alias(f"r{i}_{j}") for i, j in pairs])
-    cells = [
-        F.struct(
-            F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{min(i, j)}_{max(i, j)}").alias("r")
-        )
-        for i, a in enumerate(usable)
-        for j, b in enumerate(usable)
-    ]
-    return found.select(F.inline(F.array(*cells)))
+def _co_moments():
+    """Counts, sums and products of every pair of columns over the rows that have both, one row per pair and task.
+
+    Missing values are 0 in the values and in the mask, so each sum is a product of two matrices.
+    """
+    names = ["i", "j", "n", *CO_MOMENTS]
+
+    def run(batches):  # local, so that it travels to the workers by value
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            width = len(batch.column(0)[0])
+            x, centre = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for k in (0, 1))
+            there = ~np.isnan(x)
+            x, there = np.where(there, x - centre, 0.0), there.astype(float)
+            block = np.stack([there.T @ there, x.T @ there, there.T @ x, (x * x).T @ there, there.T @ (x * x), x.T @ x])
+            total = block if total is None else total + block
+        if total is not None:
+            i, j = np.triu_indices(total.shape[1])
+            columns = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(m[i, j]) for m in total]]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
 
 
 def box_plot(df: DataFrame, roles: Roles, x: str, y: str, sort_by: str = "none") -> DataFrame:
     """Quartiles, whiskers (furthest value within 1.5 IQR) and outlier count per category."""
     _need(df, x=x, y=y)
-    rows = latest_snapshot(df, roles).select(col(x), col(y).cast("double").alias("v"))
+    rows = latest_snapshot(df, roles).select(col(x), number(col(y)).alias("v"))
     rows = stabilise(rows.filter(col(x).isNotNull() & F.col("v").isNotNull()))  # read by several passes
     q = group_quantiles(rows, [x], "v", [0.25, 0.5, 0.75]).select(
         col(x), *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))]

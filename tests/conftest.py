@@ -19,7 +19,10 @@ def day(text):
 
 
 def golden_rows():
-    """Four entities with three snapshots each."""
+    """Four entities with three snapshots each.
+
+    Fixed values: the rows for which the expected results are known.
+    """
     entities = {
         "OPP-001": ("Deal Alpha", "2024-01-01", "Enterprise", "Alice"),
         "OPP-002": ("Deal Beta", "2024-01-05", "SMB", "Bob"),
