@@ -19,12 +19,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     Candidates are all rows but the query's own id; ties go to the smaller id. Equal
     vectors are one node of the graph and answer with all their ids. Vectors that are
     null, zero or hold a null or non-finite component, and rows without id, take no part;
-    all others must have one length. With fewer candidates than ``k`` all are returned.
+    all others must have one length. A repeated id counts once, by its best score. With fewer candidates than ``k`` all are returned.
     Other columns are not read; an empty table gives an empty result.
     """
     rows = prepared(vectors, vec_id, vector).filter("fit AND vec_id IS NOT NULL").withColumn("query", is_query)
 
-    def answer(flat, graph, ids, queries, first):
+    def answer(flat, graph, asked, queries, first):
+        ids = asked["vec_id"].to_numpy().astype(np.int64)
         kinds, members, ends = flat["vectors"], flat["members"], flat["ends"]
         begins = np.concatenate([[0], ends[:-1]])
         want = min(k + 1, len(kinds))
@@ -46,7 +47,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
             score = exact(kinds[node], queries[i][None])
             best = np.argsort(-score, kind="stable")[:want]
             node, score = node[best], score[best]
-            each = [members[begins[j] : ends[j]][: k + 1] for j in node]  # smallest ids first
+            each = [np.unique(members[begins[j] : ends[j]])[: k + 1] for j in node]  # smallest ids first, each once
             other, value = np.concatenate(each), np.repeat(score, [len(e) for e in each])
             keep = np.lexsort((other, -value))
             keep = keep[other[keep] != ids[i]][:k]
@@ -54,6 +55,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
         cols = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols)))
 
-    found = search_shards(rows.select("vec_id", "v"), rows.filter("query").select("vec_id", "v"), answer, "query_id long, vec_id long, score double")
+    asked = rows.filter("query").select("vec_id", "v").dropDuplicates()
+    found = search_shards(rows.select("vec_id", "v"), asked, answer, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -37,20 +37,28 @@ class Graph:
     def __init__(self, x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]):
         self.x, self.layers = x, layers
 
-    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the ``beam`` best nodes found and their products (-1, -inf: none)."""
-        found = [self._together(queries[i : i + TOGETHER], beam) for i in range(0, len(queries), TOGETHER)]
+    def search(self, queries: np.ndarray, beam: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the ``beam`` best nodes found and their products (-1, -inf: none).
+
+        ``start`` may name a node per query (-1: none) from which the bottom layer is walked too.
+        """
+        start = np.full(len(queries), -1) if start is None else start
+        found = [self._together(queries[i : i + TOGETHER], beam, start[i : i + TOGETHER]) for i in range(0, len(queries), TOGETHER)]
         if not found:
             return np.zeros((0, beam), np.int64), np.zeros((0, beam), np.float32)
         return tuple(np.concatenate(parts) for parts in zip(*found))
 
-    def _together(self, q: np.ndarray, beam: int):
+    def _together(self, q: np.ndarray, beam: int, start: np.ndarray):
         n, rows = len(self.x), np.arange(len(q))[:, None]
         top = self.layers[0][0]
         ids = np.broadcast_to(top, (len(q), len(top)))
         sims = q @ self.x[top].T
         for depth, (nodes, links) in enumerate(self.layers):
             width = beam if depth == len(self.layers) - 1 else min(beam, 16)
+            if depth == len(self.layers) - 1:
+                fresh = np.where((ids == start[:, None]).any(axis=1), -1, start)
+                product = np.where(fresh < 0, -np.inf, (self.x[fresh] * q).sum(axis=1))
+                ids, sims = np.concatenate([ids, fresh[:, None]], axis=1), np.concatenate([sims, product[:, None].astype(np.float32)], axis=1)
             ids, sims = _best(ids, sims, width)
             seen = np.zeros((len(q), n + 1), bool)
             seen[rows, ids] = True
@@ -129,17 +137,29 @@ def _links(x: np.ndarray, nodes: np.ndarray, most: int) -> np.ndarray:
         taken = np.zeros((len(block), near), bool)
         for j in range(near):  # a candidate nearer to one already chosen than to the node is passed over
             nearer = (taken[:, :j] & (between[:, j, :j] > close[:, j, None])).any(axis=1) if j else False
-            taken[:, j] = ~nearer & (taken.sum(axis=1) < most)
+            taken[:, j] = np.logical_not(nearer) & (taken.sum(axis=1) < most)
         order = np.argsort(~taken, axis=1, kind="stable")[:, :most]  # what was passed over fills up
         chosen[start : start + len(block), : order.shape[1]] = np.take_along_axis(cand, order, 1)
-    a, b = np.nonzero(chosen >= 0)[0], chosen[chosen >= 0]
-    order = np.lexsort((a, b))
+    (a, turn), b = np.nonzero(chosen >= 0), chosen[chosen >= 0]
+    order = np.lexsort((a, turn, b))  # reverse links of the nodes that chose this one first come first
     a, b = a[order], b[order]
     nth = np.arange(len(b)) - np.searchsorted(b, b, "left")
     back = np.full((n, most), -1)
     back[b[nth < most], nth[nth < most]] = a[nth < most]
-    links = np.concatenate([chosen, back], axis=1)
-    return np.concatenate([np.where(links >= 0, nodes[links], -1), np.full((1, 2 * most), -1)]).astype(np.int64)
+    # nodes that no list holds are strung on a chain that starts at their nearest one
+    held = np.zeros(n, bool)
+    held[b] = held[back[back >= 0]] = True
+    lost = np.flatnonzero(~held)
+    chain = np.full((n, 2), -1)
+    if near and len(lost):
+        hub = chosen[lost, 0]
+        order = np.argsort(hub, kind="stable")
+        lost, hub = lost[order], hub[order]
+        head = np.concatenate(([True], hub[1:] != hub[:-1]))
+        chain[hub[head], 0] = lost[head]
+        chain[lost[:-1][~head[1:]], 1] = lost[1:][~head[1:]]
+    links = np.concatenate([chosen, back, chain], axis=1)
+    return np.concatenate([np.where(links >= 0, nodes[links], -1), np.full((1, links.shape[1]), -1)]).astype(np.int64)
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -165,25 +185,30 @@ def shard_index(vectors: DataFrame) -> DataFrame:
     return saved(placed.groupBy("shard").applyInPandas(make, "shard int, data binary"), "index")
 
 
-def search_shards(vectors: DataFrame, queries: DataFrame, answer, schema: str) -> DataFrame:
-    """Every query against every shard: ``answer(index, graph, ids, vectors, first)`` per shard and part of the queries.
+def search_shards(vectors: DataFrame, queries: DataFrame, answer, schema: str, once: bool = False) -> DataFrame:
+    """Every query against every shard: ``answer(index, graph, queries, rows, first)`` per shard and part of the queries.
 
+    ``queries`` has the columns vec_id, v and any others, which ``answer`` gets as a frame by vec_id.
     ``first`` is true for one part of each shard. A part holds ``PART`` queries, so a
-    task's memory does not grow; a shard's arrays are read once for each part.
+    task's memory does not grow; a shard's arrays are read once for each part. With ``once`` (queries
+    are the vectors) a pair of shards meets once: queries go to their own shard and to later ones.
     """
     index = shard_index(vectors)
-    shards = [r["shard"] for r in index.select("shard").collect()]
+    shards = sorted(r["shard"] for r in index.select("shard").collect())
+    count = bucket_count(vectors.count(), SHARD)
     parts = bucket_count(queries.count(), PART)
-    dealt = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(parts)).cast("int").alias("part"))
-    dealt = dealt.select("*", F.explode(F.array(*map(F.lit, shards)) if shards else F.array().cast("array<int>")).alias("shard"))
+    part = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(parts)).cast("int")
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(count))
+    asked = F.array(*map(F.lit, shards)) if shards else F.array().cast("array<int>")
+    asked = F.filter(asked, lambda s: s >= own) if once else asked
+    dealt = queries.withColumn("part", part).withColumn("shard", F.explode(asked))
     copies = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         flat = pickle.loads(left["data"].iloc[0])
-        right = right.sort_values("vec_id")
-        ids = right["vec_id"].to_numpy().astype(np.int64)
+        right = right.sort_values("vec_id", ignore_index=True)
         rows = np.stack(right["v"].to_numpy()).astype(np.float64) if len(right) else np.zeros((0, flat["vectors"].shape[1]))
-        return answer(flat, Graph(flat["vectors"].astype(np.float32), flat["layers"]), ids, rows, int(left["part"].iloc[0]) == 0)
+        return answer(flat, Graph(flat["vectors"].astype(np.float32), flat["layers"]), right, rows, int(left["part"].iloc[0]) == 0)
 
     return copies.groupBy("shard", "part").cogroup(dealt.groupBy("shard", "part")).applyInPandas(run, schema)
 
