@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from snaplens.llm.common import add_columns, worker_state
+from snaplens.llm.common import Remembered, add_columns, worker_state
 
-CACHED = 400_000  # chunks whose ids a worker remembers
+CACHED = 250_000  # chunks, and words, whose ids a worker remembers at least
 
 
 class Bpe:
@@ -33,20 +34,32 @@ class Bpe:
         self.vocab: dict[str, int] = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
+        self.made: dict[str, int] = {}  # which merge makes a token, and of what
+        self.parts_of: dict[str, tuple[str, str]] = {}
+        for i, (a, b) in enumerate(pairs):
+            if a + b not in self.made:
+                self.made[a + b], self.parts_of[a + b] = i, (a, b)
         self.specials = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.names = {i: t for t, i in [*self.vocab.items(), *self.specials.items()]}
-        self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
+        # the longest token of three letters or more that ends in these three (and perhaps in a word's end)
+        self.reach: dict[str, int] = {}
+        for token in self.vocab:
+            body = token.removesuffix(self.end) if token != self.end else token
+            key = token[len(body) - 3 :] if len(body) >= 3 else ""
+            self.reach[key] = max(self.reach.get(key, 0), len(body))
         self.alone: dict[str, bool] = {}
         self.follows: dict[tuple[str, str], bool] = {}
-        self.chunks: dict[bytes, bytes] = {}
+        self.chunks = Remembered(CACHED)  # ids and their text of what stands between spaces
+        self.words = Remembered(CACHED)  # ids of a word
         self.byte_name = _byte_names()
         self.split = regex.compile(next(_patterns(data["pre_tokenizer"])))
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")")
 
     def parts(self, chunk: bytes) -> list[str]:
         """The pieces of a chunk: special tokens as they are, words as byte names."""
-        if chunk.isalpha():
-            return [chunk.decode().lower()]
+        head = chunk.rstrip(b".,")
+        if head and head.isalpha():  # ASCII letters, then perhaps stops
+            head, stops = head.decode().lower(), chunk[len(head) :].decode()
+            return [head, stops] if stops else [head]
         found = []
         for text in self.special.split(chunk.decode()):
             if text in self.specials:
@@ -60,15 +73,17 @@ class Bpe:
         """Encode chunks not seen so far: one walk over the trie of their words."""
         parts = {c: self.parts(c) for c in chunks}
         words = {p for found in parts.values() for p in found if p not in self.specials}
-        ids = self.walk(sorted(words)) | self.specials_as_bytes()
+        self.words |= self.walk(sorted(self.words.missing(words)))
+        known = self.words.__getitem__
         for chunk, found in parts.items():
-            self.chunks[chunk] = b"".join([ids[p] for p in found])
-
-    def specials_as_bytes(self) -> dict[str, bytes]:
-        return {t: np.int32(i).tobytes() for t, i in self.specials.items()}
+            if len(found) == 1 and found[0] not in self.specials:
+                self.chunks[chunk] = known(found[0])
+            else:
+                both = [(array("i", [self.specials[p]]).tobytes(), p) if p in self.specials else known(p) for p in found]
+                self.chunks[chunk] = b"".join([c for c, _ in both]), " ".join([t for _, t in both])
 
-    def walk(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of ordered words. ``path[i]`` is the last token of the first ``i`` letters."""
+    def walk(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
+        """Ids of ordered words, and their tokens' names. ``path[i]`` is the last token of the first ``i`` letters."""
         path: list[str] = [""]
         before, done = "", {}
         for word in words:
@@ -86,14 +101,15 @@ class Bpe:
             while at:
                 tokens.append(path[at])
                 at -= len(path[at])
-            done[word] = np.array([self.vocab[t] for t in reversed(tokens)], "<i4").tobytes()
+            tokens.reverse()
+            done[word] = array("i", map(self.vocab.__getitem__, tokens)).tobytes(), " ".join(tokens)
             before = word
         return done
 
     def last(self, word: str, at: int, end: str, path: list[str]) -> str:
         """The last token of ``word[:at]`` + ``end``, given those of all shorter prefixes."""
         vocab, follows = self.vocab, self.follows
-        for start in range(max(0, at - self.longest), at):
+        for start in range(max(0, at - self.reach.get(word[max(0, at - 3) : at] + end, 2)), at):
             token = word[start:at] + end
             if token in vocab:
                 if start == 0:
@@ -103,11 +119,29 @@ class Bpe:
                     pair = (path[start], token)
                     fits = follows.get(pair)
                     if fits is None:
-                        fits = follows[pair] = self.merge([*self.letters(pair[0]), *self.letters(token)]) == [*pair]
+                        fits = follows[pair] = self.fits(*pair)
                     if fits:
                         return token
         raise ValueError(f"no token of the vocabulary ends {word[:at]!r}")
 
+    def fits(self, a: str, b: str) -> bool:
+        """Whether two tokens stay apart when their joint text is encoded.
+
+        Their merges are undone from the last one on. What stands at the seam then would have been merged
+        across it had that merge come before the one undone; of equal merges the left one comes first.
+        """
+        until = len(self.ranks)
+        while True:
+            if self.ranks.get((a, b), until) < until:
+                return False
+            left, right = self.made.get(a, -1), self.made.get(b, -1)
+            if left > right:
+                until, a = left, self.parts_of[a][1]
+            elif right >= 0:
+                until, b = right + 1, self.parts_of[b][0]
+            else:
+                return True
+
     def is_alone(self, token: str) -> bool:
         if token not in self.alone:
             self.alone[token] = self.merge(self.letters(token)) == [token]
@@ -128,21 +162,16 @@ class Bpe:
             symbols = [*symbols[:i], symbols[i] + symbols[i + 1], *symbols[i + 2 :]]
         return symbols
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
+        """The ids of each text as little-endian integers, and the text they decode to."""
         split = [t.encode().split() if t else [] for t in texts]
-        if len(self.chunks) > CACHED:
-            self.chunks.clear()
         if len(self.follows) > CACHED:
             self.follows.clear()
-        new = set().union(*split).difference(self.chunks)
+        new = self.chunks.missing(set().union(*split))
         if new:
             self.learn(new)
-        get = self.chunks.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)), "<i4") for s in split]
-
-    def decode(self, ids: np.ndarray) -> str:
-        """Token names joined by spaces, as a tokenizer without a decoder does."""
-        return " ".join(map(self.names.__getitem__, ids.tolist()))
+        found = [list(map(self.chunks.__getitem__, s)) for s in split]
+        return [b"".join([c for c, _ in f]) for f in found], [" ".join([t for _, t in f if t]) for f in found]
 
 
 def _byte_names() -> list[str]:
@@ -181,11 +210,10 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", decode: bool
         coder = state["bpe"]
 
         def work(texts):
-            ids = coder.encode(texts)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate([*ids, np.empty(0, "<i4")]).astype(np.int32)
-            made = [pa.ListArray.from_arrays(offsets, flat)]
-            return [*made, [coder.decode(x) for x in ids]] if decode else made
+            ids, decoded = coder.encode(texts)
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+            made = [pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(ids), "<i4"))]
+            return [*made, decoded] if decode else made
 
         return work
 

@@ -66,6 +66,24 @@ def worker_state() -> dict:
     return sys.modules.setdefault("snaplens_worker_state", types.ModuleType("snaplens_worker_state")).__dict__
 
 
+class Remembered(dict):
+    """A memory of two generations: beyond ``limit`` entries only those used since the last time stay."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.older = limit, {}
+
+    def missing(self, keys: set) -> set:
+        """The keys that neither generation holds; those of the older one become new again."""
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+        unseen = keys.difference(self)
+        for key in unseen & self.older.keys():
+            self[key] = self.older[key]
+        return unseen - self.older.keys()
+
+
 class WordHashes(dict):
     """Word to 64-bit hash, computed once; ``limit`` bounds the memory."""
 

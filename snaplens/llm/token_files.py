@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from snaplens.llm.bpe import read_spec
-from snaplens.llm.common import bucket_count, mix, new_folder, pieces, plain, saved, table, text_bytes, worker_state
+from snaplens.llm.common import Remembered, bucket_count, mix, new_folder, pieces, plain, saved, table, text_bytes, worker_state
 
 SHARD_BYTES = 24 << 20  # of text
 FOOTER = "<6Q8s"
 MAGIC = b"TOKENS01"
-CACHED = 600_000  # chunks whose ids a worker remembers
+CACHED = 300_000  # chunks, and words, whose ids a worker remembers at least
 
 
 class LibraryEncoder:
@@ -58,8 +58,9 @@ class LibraryEncoder:
         self.closing = np.zeros(max(ids) + 1, bool)  # ids that end a word
         for token, i in self.full.get_vocab().items():
             self.closing[i] = bool(self.end) and token.endswith(self.end)
-        self.known: dict[bytes, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.known = Remembered(CACHED)
+        self.plain = Remembered(CACHED)
+        self.special = [t.content.encode() for t in self.full.get_added_tokens_decoder().values()]
 
     def pack(self, ids) -> bytes:
         return np.asarray(ids, f"<u{self.width}").tobytes()
@@ -72,7 +73,9 @@ class LibraryEncoder:
                 heads.append((chunk, head.decode().lower(), chunk[len(head) :].decode()))
             else:
                 rest.append(chunk)
-        new = sorted({h for _, h, _ in heads} - self.plain.keys())
+        new = sorted(self.plain.missing({w for _, head, tail in heads for w in (head, tail) if w}))
+        tails = [w for w in new if not w.isalpha()]
+        new = [w for w in new if w.isalpha()]
         for i in range(0, len(new), 512):
             some = new[i : i + 512]
             ids = np.array(self.slim.encode(" ".join(some), add_special_tokens=False).ids)
@@ -81,20 +84,26 @@ class LibraryEncoder:
                 self.plain.update(zip(some, map(self.pack, np.split(ids, ends[:-1]))))
             else:
                 self.plain.update((w, self.pack(e.ids)) for w, e in zip(some, self.slim.encode_batch(some, add_special_tokens=False)))
-        for tail in {t for _, _, t in heads if t} - self.plain.keys():
+        for tail in tails:
             self.plain[tail] = self.pack(self.full.encode(tail, add_special_tokens=False).ids)
         for chunk, head, tail in heads:
             self.known[chunk] = self.plain[head] + self.plain[tail] if tail else self.plain[head]
-        for chunk, e in zip(rest, self.full.encode_batch([c.decode() for c in rest], add_special_tokens=False)):
+        # the others together too, cut by where each token starts; special tokens may take spaces with them
+        odd = [c for c in rest if any(t in c for t in self.special)]
+        rest = [c for c in rest if not any(t in c for t in self.special)]
+        for i in range(0, len(rest), 512):
+            some = [c.decode() for c in rest[i : i + 512]]
+            ends = np.cumsum([len(c) + 1 for c in some])
+            coded = self.full.encode(" ".join(some), add_special_tokens=False)
+            at = np.searchsorted([a for a, _ in coded.offsets], ends)
+            self.known.update(zip(rest[i : i + 512], map(self.pack, np.split(np.array(coded.ids, np.int64), at[:-1]))))
+        for chunk, e in zip(odd, self.full.encode_batch([c.decode() for c in odd], add_special_tokens=False)):
             self.known[chunk] = self.pack(e.ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text; a null text has none."""
-        if len(self.known) > CACHED:
-            self.known.clear()
-            self.plain.clear()
         split = [t.encode().split() if t else [] for t in texts]
-        new = set().union(*split).difference(self.known)
+        new = self.known.missing(set().union(*split))
         if new:
             self.learn(list(new))
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
