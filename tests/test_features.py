@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from snaplens import Roles, Semantic, add_features, available_features, features, latest_snapshot, register_feature
 from snaplens import latest_per_period, first_snapshot
-from snaplens.operators import skew
 from tests.conftest import GOLDEN_SCHEMA, by_key, day, golden_rows
 
 SCHEMA = "Id string, `Snapshot Date` timestamp_ntz, Stage string, n int"
@@ -44,12 +43,10 @@ def step_model(rows):
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(history=HISTORY)
-@pytest.mark.parametrize("hot", [False, True])
-def test_days_in_stage_model(spark, history, hot):
+@pytest.mark.parametrize("parts", [1, 5])
+def test_days_in_stage_model(spark, history, parts):
     rows = [(*h, i) for i, h in enumerate(history)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    ids = skew.hot_keys(df, ["Id"], rows=1)[0] if hot else []
-    out = add_features(df, ROLES, ["days_in_current_stage"], hot=ids)
+    out = add_features(spark.createDataFrame(rows, SCHEMA).repartition(parts), ROLES, ["days_in_current_stage"])
     expected = step_model(rows)
     assert {r["n"]: r["days_in_current_stage"] for r in out.collect()} == {n: expected.get(n) for n in range(len(rows))}
 
