@@ -50,19 +50,26 @@ def _scratch() -> str:
     return tempfile.mkdtemp(prefix="snaplens-")
 
 
-def stabilise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and read it back, so that later passes do not redo its plan.
+def new_path(spark: SparkSession, name: str = "snaplens") -> str | None:
+    """A path not used yet in the shared folder that ``spark.checkpoint.dir`` names.
 
-    The table goes to the shared folder the cluster names in ``spark.checkpoint.dir``
-    and so outlives lost executors. A local session without one gets a temporary
-    folder; a cluster without one keeps the plan as it is.
+    A local session without one gets a temporary folder; a cluster without one has no such path.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            return df
+        if not spark.sparkContext.master.startswith("local["):
+            return None
         folder = _scratch()
-    path = f"{folder.rstrip('/')}/snaplens-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stabilise(df: DataFrame) -> DataFrame:
+    """Write ``df`` once and read it back, so that later passes do not redo its plan.
+
+    The table goes to ``new_path`` and so outlives lost executors; where there is none, the plan stays as it is.
+    """
+    path = new_path(df.sparkSession)
+    if path is None:
+        return df
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -46,6 +46,8 @@ def read_csv(
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
     if not df.columns or df.isEmpty():

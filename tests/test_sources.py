@@ -151,3 +151,29 @@ def test_invalid_stages_are_reported(spark, golden, roles):
 def test_export_order(golden):
     out = order_columns(golden, ["Owner", "Id", "gone"], ["GM%"])
     assert out.columns[:3] == ["Owner", "Id", "GM%"] and sorted(out.columns) == sorted(golden.columns)
+
+
+def test_manifest_tells_changed_and_extra_files(spark, tmp_path):
+    from snaplens.sources.export import check_manifest, write_csv
+
+    folder = tmp_path / "out"
+    rows = [(i, f' "{i}", \n and more ') for i in range(50)]
+    write_csv(spark.createDataFrame(rows, "n int, t string").repartition(3), str(folder), manifest=True)
+    assert check_manifest(spark, str(folder)).count() == 0
+    first = sorted(folder.glob("part-*.csv"))[0]
+    first.write_text(first.read_text() + "99,late\n")
+    (folder / "part-extra.csv").write_text("n,t\n1,x\n")
+    for crc in folder.glob(".*.crc"):
+        crc.unlink()
+    found = {r["problem"] for r in check_manifest(spark, str(folder)).collect()}
+    assert found == {"changed", "not listed"}
+
+
+def test_cells_keep_spaces_quotes_and_line_breaks(spark, tmp_path):
+    from snaplens.sources.export import write_csv
+    from snaplens.sources.tables import read_csv
+
+    texts = [' "quoted", \n and more ', "a,b", 'say ""hi""', "\ttab ", "ends with backslash \\"]
+    write_csv(spark.createDataFrame(list(enumerate(texts)), "n int, t string"), str(tmp_path / "o"))
+    back = {int(r["n"]): r["t"] for r in read_csv(spark, str(tmp_path / "o"), multiline=True).collect()}
+    assert back == dict(enumerate(texts))
