@@ -13,6 +13,7 @@ from snaplens.llm.hnsw import AUDITED, exact, prepared, search_shards
 
 BEAM = 16
 RECALL = 0.995  # of the links of a task's audited vectors
+WIDEST = 128  # beam beyond which products with the whole shard cost less
 TOGETHER = 256  # queries whose links are settled at once
 PAIRS = 65_536  # pairs whose cosines are taken at once
 
@@ -23,8 +24,8 @@ def cosine_components(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "v
     Vectors link if their cosine in double precision is at least ``cosine``. Each pair of shards meets once: the
     vectors of the one ask the other's graph, starting from their own node where they have one. A beam
     filled with links alone is doubled for its vector, and the beam of all is doubled until the audited
-    vectors (those found with links first, without their own nodes) find ``RECALL`` of their links; past an eighth of the shard
-    the products are taken with all of it. Tasks return numbers of links and the components they saw as
+    vectors (those found with links first, without their own nodes) find ``RECALL`` of their links; past ``WIDEST`` or an eighth of the shard
+    the products are taken with all of it, which is exact. Tasks return numbers of links and the components they saw as
     stars, never all pairs. Vectors that are null, zero or hold null or non-finite components link
     with nothing; all others must have one length. Rows of one id share their links: the other rows linked to any of
     them. Rows without id link with nothing and have no component. Other columns are not read.
@@ -59,7 +60,7 @@ def cosine_components(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "v
             found, sims = graph.search(q[some].astype(np.float32), beam, own[some])
             return found, sims >= cosine - 1e-5, sims.min(axis=1) >= cosine - 1e-5
 
-        beam, limit = BEAM, max(BEAM, len(kinds) // 8)
+        beam, limit = BEAM, max(BEAM, min(WIDEST, len(kinds) // 8))
         audit = _audited(walk, len(ids), own)
         while len(audit) and beam <= limit:
             truth = (q[audit] @ units.T >= cosine).sum(axis=1) - (own[audit] >= 0)
@@ -125,8 +126,8 @@ def _own_nodes(ids, queries, here, members, kinds, times) -> np.ndarray:
 
 
 def _audited(walk, n: int, own: np.ndarray) -> np.ndarray:
-    """Queries to audit: those with a link, of a few thousand walked first, and some more."""
-    even = np.unique(np.linspace(0, n - 1, min(4096, n)).astype(int)) if n else np.zeros(0, int)
+    """Queries to audit: those with a link, of a thousand walked first, and some more."""
+    even = np.unique(np.linspace(0, n - 1, min(1024, n)).astype(int)) if n else np.zeros(0, int)
     if not len(even):
         return even
     found, near, _ = walk(even, BEAM)
