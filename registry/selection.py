@@ -267,8 +267,8 @@ def _(spark, folder):
     SELECT section, item, metric, round(value, 6) AS value, text FROM (
     SELECT 'data' AS section, NULL AS item, 'records' AS metric, count(*)::DOUBLE AS value, NULL AS text FROM working
     UNION ALL SELECT 'data', NULL, 'columns', 3, NULL
-    UNION ALL SELECT 'filters', 'event_type', 'CategoricalFilter', NULL, 'exclude'
-    UNION ALL SELECT 'filters', 'value', 'NumericFilter', NULL, 'greater_than'
+    UNION ALL SELECT 'filters', 'event_type', 'CategoricalFilter', NULL, 'exclude: signup'
+    UNION ALL SELECT 'filters', 'value', 'NumericFilter', NULL, 'greater_than: low=1.0'
     UNION ALL SELECT 'outliers', NULL, 'excluded_rows', out, NULL FROM o
     UNION ALL SELECT 'outliers', NULL, 'exclusion_pct', 100.0 * out / n, NULL FROM o
     UNION ALL SELECT 'outliers', NULL, 'method', NULL, 'iqr'

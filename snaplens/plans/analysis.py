@@ -42,6 +42,13 @@ def _line(section: str, item: Column, metric: str, value: Column | None = None,
     )
 
 
+def _setting(f: Filter) -> str:
+    """Mode and bounds, selected values or search text of a filter."""
+    given = [f"{name}={getattr(f, name)}" for name in ("low", "high", "search") if getattr(f, name, None) is not None]
+    given += [", ".join(map(str, f.values))] if hasattr(f, "values") else []
+    return ": ".join([getattr(f, "mode", "include"), *([" ".join(given)] if given else [])])
+
+
 def summary(
     df: DataFrame,
     types: Mapping[str, Semantic],
@@ -64,8 +71,7 @@ def summary(
     ]
     for f in filters:
         if f.active and f.column in df.columns:
-            mode = getattr(f, "mode", "include")
-            lines.append(_line("filters", F.lit(f.column), type(f).__name__, text=F.lit(mode)))
+            lines.append(_line("filters", F.lit(f.column), type(f).__name__, text=F.lit(_setting(f))))
     out = working.agg(F.count(F.lit(1)).alias("n")).select(F.inline(F.array(*lines)))
 
     if outliers:
