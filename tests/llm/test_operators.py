@@ -355,9 +355,17 @@ def test_lines_of_a_recurring_template_go(spark):
     assert got[1] == (rows[0][1], 2, 0) and got[2] == ("Own words of the second one", 2, 1)
     assert got[3] == ("Own words of number three here", 2, 1) and got[None] == ("", 1, 1)
     assert got[4] == (None, 0, 0) and got[5] == ("", 1, 0) and got[6] == (rows[6][1], 2, 0)
+    assert got[7] == got[8] == ("", 1, 1)
     assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
 
 
+def test_lines_in_columns_that_clash(spark):
+    rows = [(i, f"The very same line in all\nOwn {i}", 7, 8, 9) for i in range(3)]
+    out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_dropped int, gone int"))
+    assert out.columns == ["doc_id", "text", "gone", "n_lines", "n_dropped"]
+    assert sorted(tuple(r) for r in out.collect()) == [(0, rows[0][1], 9, 2, 0), (1, "Own 1", 9, 2, 1), (2, "Own 2", 9, 2, 1)]
+
+
 def test_short_lines_of_the_pipeline_go_when_they_recur(spark):
     rows = [
         (1, "Home\nPage 3 of 10\nOwn text a"), (2, " Home\t\nPage 3 of 10\nOwn text b\n\n"), (3, "Home\nPage 3 of 10\n\nOwn text c"),
@@ -366,7 +374,7 @@ def test_short_lines_of_the_pipeline_go_when_they_recur(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, "").collect()}
     assert got == {1: rows[0][1], 2: "Own text b\n\n", 3: "\nOwn text c", 4: "Page 4 of 10\n", 5: rows[4][1], 6: rows[5][1]}
-    assert "Python" not in line_dedup(docs, exact=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in line_dedup(docs)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_passages_of_the_pipeline_go_from_the_second_document_on(spark):
