@@ -26,6 +26,9 @@ from snaplens.llm.components import components
 BITS = 1 << 16  # bits of a band
 BLOCK = 1_500  # sets of one candidate group that are compared in one go
 ROWS = 3_000  # sets of one verifying task
+KNOWN = 1_000_000  # sets that a task remembers as offered; beyond it some are offered again
+SALTS = 32  # tasks that share the rows of one large candidate group
+WORDS = 1 << 18  # 64-bit words of the set of wanted rows
 
 
 def differing(n: int, percent: int) -> int:
@@ -111,12 +114,17 @@ def jaccard_components(
     out = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def sketch(batches):
-        hashes = WordHashes()
+        hashes, known, none = WordHashes(), set(), np.empty(0, np.int64)
         for piece in pieces(batches, 4 << 20):
             rows = []
+            if len(known) > KNOWN:
+                known.clear()
             for t in piece.column(2).to_pylist():
                 found = shingles(hashes.of(words(t)), words_each)
-                rows.append((len(found), signed_hash(found) if len(found) else None, signed(band_keys(found, percent))))
+                set_id = signed_hash(found) if len(found) else None
+                # A task offers the keys of a set once, so copies do not make a key hot.
+                rows.append((len(found), set_id, none if set_id in known else signed(band_keys(found, percent))))
+                known.add(set_id)
             yield table(out, piece.column(0), piece.column(1), *([r[i] for r in rows] for i in range(3)))
 
     sets = saved(base.mapInArrow(sketch, "doc_id long, row_key long, n long, set_id long, keys array<long>"), "sets")
@@ -125,10 +133,14 @@ def jaccard_components(
     node = F.struct(F.col("rep").isNull().alias("none"), F.coalesce("rep", F.lit(0)).alias("id"), F.col("set_id"))
     first = members.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep")).select("set_id", node.alias("node"))
 
-    # Sets that share a key: each is tied to the smallest one, never to all.
-    keys = sets.filter("size(keys) > 0").select("set_id", F.explode("keys").alias("key"))
+    # Sets that share a key: each is tied to the smallest one, never to all. The keys move
+    # once: the minima and the join both work on the partitions made here.
+    keys = (
+        sets.filter("size(keys) > 0").select("set_id", F.explode("keys").alias("key"))
+        .filter("set_id IS NOT NULL AND key IS NOT NULL").repartition("key")
+    )
     shared = keys.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low < high")
-    ties = keys.join(shared.select("key", "low"), "key").filter("set_id <> low").select(F.col("set_id").alias("u"), F.col("low").alias("v"))
+    ties = keys.join(shared.select("key", "low").hint("merge"), "key").filter("set_id <> low").select(F.col("set_id").alias("u"), F.col("low").alias("v"))
     groups = saved(components(ties), "groups").withColumnRenamed("node", "set_id")
 
     links = saved(_verified(base, members, groups, words_each, percent), "links")
@@ -149,6 +161,18 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.struct(plain(doc_id), plain(text)), plain(doc_id).isNull())
 
 
+def among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` (a long) is not in ``wanted``; every other row stays.
+
+    The keys of ``wanted`` are set in ``WORDS`` words of 64 bits, at most one row a word whatever
+    the input, so the broadcast is bounded. Beyond some ten million keys it passes ever more rows.
+    """
+    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(64 * WORDS))
+    word, mask = F.floor(bit / 64).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+    held = wanted.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
+    return rows.join(F.broadcast(held), word == F.col("word")).filter(F.col("bits").bitwiseAND(mask) != 0).select(rows.columns)
+
+
 def signed_hash(found: np.ndarray) -> int:
     value = xxhash.xxh64_intdigest(found.tobytes())
     return value - (1 << 64) if value >> 63 else value
@@ -157,9 +181,14 @@ def signed_hash(found: np.ndarray) -> int:
 def _verified(base: DataFrame, members: DataFrame, groups: DataFrame, words_each: int, percent: int) -> DataFrame:
     """Edges ``u``, ``v`` between set ids: within each candidate group a forest of its links."""
     spark = base.sparkSession
-    size = groups.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = groups.join(size, "component").select("set_id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("set_id"), blocks).cast("int").alias("mine"))
+    # Only groups of more than one block need their size; their rows are dealt over SALTS tasks.
+    large = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).filter("n > 1")
+    large = large.select("component", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = groups.withColumn("salt", F.pmod(F.xxhash64("set_id", F.lit(1)), F.lit(SALTS)).cast("int"))
+    blocks = F.coalesce("n", F.lit(1))
+    placed = salted.join(large, ["component", "salt"], "left").select(
+        "set_id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("set_id"), blocks).cast("int").alias("mine")
+    )
     pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("mine")).cast("long") * F.col("blocks") + F.greatest(o, F.col("mine")))
     )
@@ -171,7 +200,7 @@ def _verified(base: DataFrame, members: DataFrame, groups: DataFrame, words_each
     unit = F.xxhash64("component", "pair")
     # Copies without id are one row here, however many there are.
     nameless = base.filter("doc_id IS NULL").groupBy("row_key").agg(F.first("text").alias("text"))
-    texts = base.filter("doc_id IS NOT NULL").select("row_key", "text").unionByName(nameless)
+    texts = among(base.filter("doc_id IS NOT NULL").select("row_key", "text"), wanted, "row_key").unionByName(nameless)
     tasks = (
         texts.join(wanted, "row_key").select("text", "set_id", "component", F.explode("pairs").alias("pair"))
         .select(F.pmod(unit, F.lit(parts)).cast("int").alias("part"), unit.alias("unit"), "set_id", "text")

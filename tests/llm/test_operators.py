@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from snaplens.llm import queries
+from snaplens.llm import jaccard, queries
 from snaplens.llm.ann import nearest
 from snaplens.llm.bpe import bpe_encode
 from snaplens.llm.common import remainder
@@ -129,6 +129,26 @@ def test_jaccard_links_are_those_of_all_pairs(spark, sf, words_each, percent):
         assert {i: r["component_id"] for i, r in got.items()} == want
 
 
+def test_jaccard_in_many_blocks(spark, monkeypatch):
+    rows = near_copies(spark).collect()
+    whole = sorted(tuple(r) for r in jaccard_components(spark.createDataFrame(rows)).collect())
+    for name, value in (("BLOCK", 2), ("ROWS", 5), ("SALTS", 3), ("WORDS", 2), ("KNOWN", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    copies = [(r["doc_id"] + 5_000, r["text"]) for r in rows[::3] for _ in range(2)]
+    got = sorted(tuple(r) for r in jaccard_components(spark.createDataFrame([tuple(r) for r in rows] + copies, "doc_id long, text string")).collect())
+    assert [r for r in got if r[0] < 5_000] == whole
+    label = {r[0]: r[1:] for r in whole}
+    assert all(r[1:] == label[r[0] - 5_000] for r in got if r[0] >= 5_000) and len(got) == len(rows) + len(copies)
+
+
+def test_rows_of_wanted_keys_stay(spark):
+    rows = spark.range(2_000).select(F.xxhash64("id").alias("row_key"), F.col("id").alias("text"))
+    kept = jaccard.among(rows, rows.filter("text % 100 = 0"), "row_key")
+    found = {r["text"] for r in kept.collect()}
+    assert set(range(0, 2_000, 100)) <= found and len(found) < 100 and kept.columns == rows.columns
+    assert jaccard.among(rows, rows.filter("false"), "row_key").count() == 0
+
+
 def test_jaccard_of_odd_rows(spark, odd, none):
     got = Counter(tuple(r) for r in jaccard_components(odd).select("doc_id", "n_shingles", "component_id").collect())
     assert sum(got.values()) == odd.count()
