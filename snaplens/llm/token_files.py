@@ -34,6 +34,7 @@ from snaplens.llm.bpe import read_spec
 from snaplens.llm.common import Remembered, bucket_count, mix, new_folder, pieces, plain, saved, table, text_bytes, worker_state
 
 SHARD_BYTES = 24 << 20  # of text
+READERS = 20_000  # tasks that read shards back, at most; each then reads several
 FOOTER = "<6Q8s"
 MAGIC = b"TOKENS01"
 CACHED = 300_000  # chunks, and words, whose ids a worker remembers at least
@@ -334,5 +335,10 @@ def read_tokens(files: TokenFiles, keys: DataFrame, key: str = "doc_id") -> Data
         })
 
     placed = pa.schema([("shard", pa.int32()), ("key", pa.int64())])
-    wanted = keys.select(plain(key).cast("long").alias("key")).distinct().mapInArrow(place, "shard int, key long").distinct()
+    # The keys are few bytes, the payloads they call for are not: the tasks are numbered by shards.
+    tasks = min(max(1, len(shards)), READERS)
+    wanted = (
+        keys.select(plain(key).cast("long").alias("key")).distinct().mapInArrow(place, "shard int, key long")
+        .repartition(tasks, "shard").distinct()
+    )
     return wanted.groupBy("shard").applyInPandas(read, "doc_id long, start long, ids binary")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from snaplens.llm import jaccard, queries
+from snaplens.llm import jaccard, queries, token_files
 from snaplens.llm.ann import nearest
 from snaplens.llm.bpe import bpe_encode
 from snaplens.llm.common import remainder
@@ -72,6 +72,20 @@ def test_token_files_return_what_the_library_encodes(spark, sf, library):
         start += len(ids)
 
 
+def test_token_files_of_many_shards(spark, sf, library, tokenizer, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 40_000)
+    docs = documents(spark, sf).select("doc_id", "text")
+    files = write_tokens(docs, tokenizer, end_id=2)
+    assert len(files.shards) > 5
+    back = read_tokens(files, docs)
+    assert back.rdd.getNumPartitions() == len(files.shards)
+    got, start = {r["doc_id"]: r for r in back.collect()}, 0
+    for doc_id, text in sorted(docs.collect()):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        assert got[doc_id]["start"] == start and got[doc_id]["ids"] == np.array(ids, "<u4").tobytes()
+        start += len(ids)
+
+
 def test_token_files_with_odd_rows(spark, odd, none, library, tokenizer):
     files = write_tokens(odd, tokenizer, end_id=2)
     want = Counter((r["doc_id"], *library.encode(r["text"] or "", add_special_tokens=False).ids, 2) for r in odd.collect())
