@@ -16,6 +16,7 @@ reads no other key; a key that is not there is told by its fingerprint.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ SHARD_BYTES = 24 << 20  # of text
 READERS = 20_000  # tasks that read shards back, at most; each then reads several
 FOOTER = "<6Q8s"
 MAGIC = b"TOKENS01"
+# Letters whose lower case and normal form no neighbour changes, then perhaps ASCII signs.
+WORD_AND_STOPS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
 CACHED = 300_000  # chunks, and words, whose ids a worker remembers at least
 
 
@@ -44,7 +47,8 @@ class LibraryEncoder:
     """Whole texts through the tokenizers library, each different chunk between spaces once.
 
     The tokenizer must drop white space and never join across it, as word-end BPE does.
-    Ordinary lower-cased words skip the normaliser, which leaves them as they are.
+    Words of Latin-1 letters skip the normaliser once lower-cased, which leaves them as they are;
+    signs after them are a word of their own.
     """
 
     def __init__(self, spec: str):
@@ -66,38 +70,44 @@ class LibraryEncoder:
     def pack(self, ids) -> bytes:
         return np.asarray(ids, f"<u{self.width}").tobytes()
 
+    def cut(self, ids, ends: np.ndarray) -> list[bytes]:
+        """The packed ids up to each of ``ends``."""
+        raw, at = self.pack(ids), (ends * self.width).tolist()
+        return [raw[i:j] for i, j in zip([0, *at], at)]
+
     def learn(self, chunks: list[bytes]) -> None:
         heads, rest = [], []
         for chunk in chunks:
-            head = chunk.rstrip(b".,")
-            if head and head.isalpha():  # ASCII letters, then perhaps stops: two words to the library
-                heads.append((chunk, head.decode().lower(), chunk[len(head) :].decode()))
+            found = WORD_AND_STOPS(chunk.decode())  # two words to the library
+            if found:
+                heads.append((chunk, found[1].lower(), found[2]))
             else:
                 rest.append(chunk)
-        new = sorted(self.plain.missing({w for _, head, tail in heads for w in (head, tail) if w}))
+        new = self.plain.missing({head for _, head, _ in heads} | {tail for _, _, tail in heads if tail})
         tails = [w for w in new if not w.isalpha()]
         new = [w for w in new if w.isalpha()]
         for i in range(0, len(new), 512):
             some = new[i : i + 512]
-            ids = np.array(self.slim.encode(" ".join(some), add_special_tokens=False).ids)
+            ids = np.array(self.slim.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids)
             ends = np.flatnonzero(self.closing[ids]) + 1
             if len(ends) == len(some):
-                self.plain.update(zip(some, map(self.pack, np.split(ids, ends[:-1]))))
+                self.plain.update(zip(some, self.cut(ids, ends)))
             else:
                 self.plain.update((w, self.pack(e.ids)) for w, e in zip(some, self.slim.encode_batch(some, add_special_tokens=False)))
         for tail in tails:
             self.plain[tail] = self.pack(self.full.encode(tail, add_special_tokens=False).ids)
-        for chunk, head, tail in heads:
-            self.known[chunk] = self.plain[head] + self.plain[tail] if tail else self.plain[head]
+        word = self.plain
+        self.known.update((chunk, word[head] + word[tail] if tail else word[head]) for chunk, head, tail in heads)
         # the others together too, cut by where each token starts; special tokens may take spaces with them
-        odd = [c for c in rest if any(t in c for t in self.special)]
-        rest = [c for c in rest if not any(t in c for t in self.special)]
+        odd = {c for c in rest if any(t in c for t in self.special)}
+        rest = [c for c in rest if c not in odd]
         for i in range(0, len(rest), 512):
             some = [c.decode() for c in rest[i : i + 512]]
             ends = np.cumsum([len(c) + 1 for c in some])
             coded = self.full.encode(" ".join(some), add_special_tokens=False)
             at = np.searchsorted([a for a, _ in coded.offsets], ends)
-            self.known.update(zip(rest[i : i + 512], map(self.pack, np.split(np.array(coded.ids, np.int64), at[:-1]))))
+            self.known.update(zip(rest[i : i + 512], self.cut(coded.ids, at)))
+        odd = list(odd)
         for chunk, e in zip(odd, self.full.encode_batch([c.decode() for c in odd], add_special_tokens=False)):
             self.known[chunk] = self.pack(e.ids)
 
