@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snaplens.functions.numbers import ratio
-from snaplens.operators.isolation import isolation_score
+from snaplens.operators.isolation import TREE_ROWS, TREES, grow_forest, share_cut, short_intervals, step_counts, within
 from snaplens.operators.quantiles import column_quantiles
 from snaplens.operators.semantics import blank_nan, is_number
 from snaplens.roles import col
@@ -36,19 +36,27 @@ MIN_VALUES = 10
 
 @dataclass(frozen=True)
 class OutlierSpec:
-    """One method and sensitivity for all columns; ``row_key`` identifies a row when sampling (default: its position)."""
+    """One method and sensitivity for all columns.
+
+    For the isolation forest: ``row_key`` identifies a row when sampling (default: its position),
+    ``trees`` and ``tree_rows`` give the forest's size.
+    """
 
     columns: Sequence[str]
     method: str = "iqr"
     sensitivity: str = "moderate"
     combine: str = "any"
     row_key: Sequence[str] = ()
+    trees: int = TREES
+    tree_rows: int = TREE_ROWS
 
     def __post_init__(self):
         if self.method not in METHODS:
             raise ValueError(f"unknown method {self.method!r}")
         if self.sensitivity not in PRESETS:
             raise ValueError(f"unknown sensitivity {self.sensitivity!r}")
+        if self.trees < 1 or self.tree_rows < 2:
+            raise ValueError("a forest needs a tree, and a tree two rows")
 
     @property
     def threshold(self) -> float:
@@ -154,15 +162,11 @@ def _centred(c: str, center: float, scale: float, threshold: float, weight: floa
 def _isolation_forest(df, columns, moments, spec) -> dict[str, Rule]:
     rules = {}
     for c in columns:
-        depth = isolation_score(df, c, moments[c]["n"], spec.row_key)
-        cut = (
-            df.filter(col(c).isNotNull())
-            .groupBy(depth.alias("depth"))  # a step function: few distinct depths
-            .agg(F.count("*").alias("n"))
-            .agg(F.percentile("depth", F.lit(spec.threshold), F.col("n")))
-            .first()[0]
-        )
-        rules[c] = Rule(c, center=cut, flag=depth < F.lit(cut))
+        forest = grow_forest(df, c, moments[c]["n"], spec.row_key, spec.trees, spec.tree_rows)
+        counts = step_counts(df, c, forest)
+        cut = share_cut(forest.heights, counts, spec.threshold)
+        flag = within(col(c).cast("double"), short_intervals(forest, counts, cut))
+        rules[c] = Rule(c, center=cut, flag=flag)
     return rules
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from snaplens import OutlierSpec, exclude_outliers, exclusion_info, flag_outliers, outlier_rules, outlier_stats
-from snaplens.operators.isolation import TREE_ROWS, grow_tree, mean_path
+from snaplens.operators.isolation import Forest, TREE_ROWS, grow_tree, mean_path, share_cut, short_intervals, step_counts, within
 from snaplens.operators.outliers import PRESETS
 
 rng = random.Random(11)
@@ -129,3 +129,31 @@ def test_nan_is_missing(spark, method):
     assert not any(r["v"] is None or r["v"] != r["v"] for r in flagged) and len(flagged) <= 10
     stats = outlier_stats(df, OutlierSpec(["v"], method)).first()
     assert stats["n"] == 52 and stats["valid"] == 50
+
+
+def test_intervals_flag_what_path_lengths_flag(spark):
+    draw = np.random.default_rng(5)
+    forest = Forest(np.sort(draw.normal(0, 3, 400)), draw.uniform(5, 9, 401))  # many separate intervals
+    values = np.concatenate([draw.normal(0, 2, 3000), forest.edges[::7], [-1e9, 1e9]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(5)
+    counts = step_counts(df, "v", forest)
+    paths = forest.heights[np.searchsorted(forest.edges, values, side="left")]
+    assert counts.sum() == len(values)
+    for share in (0.0, 0.05, 0.2, 0.9):
+        cut = share_cut(forest.heights, counts, share)
+        assert cut == pytest.approx(np.quantile(paths, share), abs=1e-12)
+        intervals = short_intervals(forest, counts, cut)
+        flagged = sorted(r["v"] for r in df.filter(within(df["v"], intervals)).collect())
+        assert flagged == sorted(values[paths < cut])
+
+
+def test_forest_predicate_runs_no_python_and_reaches_the_scan(spark, df, tmp_path):
+    df.write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    spec = OutlierSpec(["a"], "isolation_forest", "conservative", row_key=["n"], trees=40, tree_rows=128)
+    kept = exclude_outliers(table, spec)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "LessThanOrEqual(a," in plan
+    assert not {300, 301, 302, 303, 304} & {r["n"] for r in kept.collect()}
+    with pytest.raises(ValueError, match="tree"):
+        OutlierSpec(["a"], "isolation_forest", trees=0)
