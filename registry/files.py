@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from registry.base import query, table
 from snaplens.session import new_path
 from snaplens.sources.export import check_manifest, csv_files, write_csv
-from snaplens.sources.tables import read_csv
+from snaplens.sources.tables import read_csv, read_quoted_csv
 
 
 def _path(spark, name):
@@ -17,10 +17,10 @@ def _path(spark, name):
     return path
 
 
-@query(
-    "csv_round_trip",
-    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, md5(nullif(text, '')) AS text FROM documents""",
-)
+TEXTS_SQL = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, md5(nullif(text, '')) AS text FROM documents"
+
+
+@query("csv_round_trip", TEXTS_SQL)
 def _(spark, folder):
     """Texts with quotes, commas and line breaks, through a file and back."""
     path = _path(spark, "csv")
@@ -28,6 +28,14 @@ def _(spark, folder):
     return read_csv(spark, path, multiline=True).select("doc_id", "lang", "source", F.md5("text").alias("text"))
 
 
+@query("csv_round_trip_split", TEXTS_SQL)
+def _(spark, folder):
+    """The same, each file read by as many tasks as it has splits."""
+    path = _path(spark, "csv")
+    write_csv(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"), path)
+    return read_quoted_csv(spark, path).select("doc_id", "lang", "source", F.md5("text").alias("text"))
+
+
 @query(
     "export_round_trip",
     """SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS price, 0::BIGINT AS damaged,

@@ -40,6 +40,6 @@ from snaplens.plans.reports import (
 from snaplens.roles import Roles
 from snaplens.session import configure, local_session
 from snaplens.sources.export import export_info, order_columns, write_csv, write_parquet
-from snaplens.sources.tables import load, read_csv, read_table
+from snaplens.sources.tables import load, read_csv, read_quoted_csv, read_table
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -177,3 +177,43 @@ def test_cells_keep_spaces_quotes_and_line_breaks(spark, tmp_path):
     write_csv(spark.createDataFrame(list(enumerate(texts)), "n int, t string"), str(tmp_path / "o"))
     back = {int(r["n"]): r["t"] for r in read_csv(spark, str(tmp_path / "o"), multiline=True).collect()}
     assert back == dict(enumerate(texts))
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    names = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_csv_is_cut_where_records_end(spark, tmp_path, tiny_splits, end):
+    from snaplens import read_quoted_csv
+
+    texts = ["plain", "two\nlines", 'a ""quoted"" word,\n\n and, more ', "long " * 40 + "\n" + '""' * 3, "", " x ", "é\n" * 30, '""', "NA"]
+    rows = [(str(i), texts[i % len(texts)]) for i in range(60)]
+    body = end.join(["Id,Text,Last", *[f'{i},"{t}",{i}' for i, t in rows], ""])
+    path = tmp_path / "in.csv"
+    path.write_bytes(body.encode())
+    df = read_quoted_csv(spark, str(path))
+    wanted = {i: None if t in ("", "NA") else t.replace('""', '"') for i, t in rows}
+    got = [(r["Id"], r["Text"], r["Last"]) for r in df.collect()]
+    assert len(got) == 60 and {i: t for i, t, _ in got} == wanted and all(i == last for i, _, last in got)
+    assert spark.read.text(str(path)).select(F.spark_partition_id()).distinct().count() > 5
+
+
+def test_quoted_csv_of_several_files_and_bad_records(spark, tmp_path, tiny_splits):
+    from snaplens import read_quoted_csv
+
+    rows = [(i, f' "{i}", \n and more ') for i in range(50)]
+    write_csv(spark.createDataFrame(rows, "n int, t string").repartition(3), str(tmp_path / "o"))
+    assert {int(r["n"]): r["t"] for r in read_quoted_csv(spark, str(tmp_path / "o")).collect()} == dict(rows)
+    found = read_quoted_csv(spark, csv(tmp_path, 'a,b\n1,2\n\n3\n4,"x\ny",6\n'), bad="why").collect()
+    assert sorted(r["why"] or "" for r in found) == ["", "3", '4,"x\ny",6'] and {r["a"] for r in found} == {"1", "3", "4"}
+    assert read_quoted_csv(spark, csv(tmp_path, "a,b\n", "none.csv")).count() == 0
+    with pytest.raises(ValueError, match="other half"):
+        read_quoted_csv(spark, csv(tmp_path, 'a,b\n1,5" pipe\n', "odd.csv"))
