@@ -2,9 +2,9 @@
 
 Entity features are aggregates per id, computed map-side first and joined back; adaptive
 execution splits the rows of a hot id in that join. The previous row of each row comes from
-ranges of (id, date, tie) between sampled splitters: rows are sorted range by range, and the
-last row of each range is carried to the next, so an id may span any number of tasks. Building the
-plan runs no job.
+its id's rows in order. Sampled splitters over (id, date, tie) cut ids with many rows into ranges: these are
+sorted one by one, and the last row of each is carried to the next, so an id may span any number of
+tasks. Building the plan runs no job.
 """
 
 from __future__ import annotations
@@ -129,36 +129,39 @@ def with_previous(df: DataFrame, r: Roles, ranges: int | None = None) -> DataFra
     """``df`` with ``PREVIOUS``: date and stage of the same id's row before, null for its first.
 
     Splitters are taken from the rows with the smallest hashes, so they depend on the data alone and every pass
-    over it makes the same ranges. ``ranges`` defaults to four per shuffle partition. Rows equal in id,
-    date and tie columns share a range.
+    over it makes the same ranges. An id is cut by the splitters that lie in it, which are many for a hot id and none
+    for most; only rows of ids with splitters look for their range and hand a last row on. ``ranges`` defaults to four
+    per shuffle partition. Rows equal in id, date and tie columns share a range.
     """
     ranges = ranges or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fan = max(2, round(ranges**0.5))
     place = F.struct(*[c.alias(f"p{i}") for i, c in enumerate(_place(r))])
-    sample = df.select(place.alias("p"), F.xxhash64(*_place(r)).alias("h")).orderBy("h").limit(SAMPLES * fan * fan)
+    sample = df.select(place.alias("p"), F.xxhash64(*_place(r)).alias("h")).orderBy("h", "p").limit(SAMPLES * ranges)
     listed = sample.agg(F.sort_array(F.collect_list("p")).alias("p"))
-    step = F.greatest(F.ceil(F.size("p") / F.lit(fan * fan)).cast("int"), F.lit(1))
-    every = listed.select(F.filter("p", lambda _, i: i % step == step - 1).alias("all"))
-    splitters = every.select(  # one row
-        F.lit(0).alias("__all"), F.col("all").alias("__fine"), F.filter("all", lambda _, i: i % fan == fan - 1).alias("__coarse"))
-
-    def upto(several: Column) -> Column:
-        return F.size(F.filter(several, lambda s: s <= F.col("__place")))
-
-    rows = df.withColumns({"__all": F.lit(0), "__place": place}).join(F.broadcast(splitters), "__all")
-    rows = rows.withColumn("__block", upto(F.col("__coarse")) * fan)
-    rows = rows.withColumn("__range", F.col("__block") + upto(F.slice("__fine", F.col("__block") + 1, fan)))
-    rows = rows.drop("__all", "__fine", "__coarse", "__block", "__place")
+    step = F.greatest(F.ceil(F.size("p") / F.lit(ranges)).cast("int"), F.lit(1))
+    several = listed.select(F.explode(F.filter("p", lambda _, i: i % step == step - 1)).alias("cut"))
+    cuts = several.groupBy(F.col("cut.p0").alias("__of")).agg(F.sort_array(F.collect_list("cut")).alias("__cuts"))
+
+    rows = df.withColumns({"__key": F.xxhash64(col(r.id)), "__place": place})
+    rows = rows.join(F.broadcast(cuts), col(r.id).eqNullSafe(F.col("__of")), "left").withColumn("__range", F.lit(0))
+    # The number of cuts up to the row, by halving. Steps are columns of their own: compiled, no array is copied.
+    for step in reversed(range(ranges.bit_length())):
+        passed = F.get("__cuts", F.col("__range") + ((1 << step) - 1)) <= F.col("__place")
+        rows = rows.withColumn("__range", F.when(passed, F.col("__range") + (1 << step)).otherwise(F.col("__range")))
+    cut = rows.filter("__cuts IS NOT NULL")
+    rows = rows.drop("__of", "__cuts", "__place")
 
     state = F.struct(col(r.id).alias("id"), col(r.snapshot).alias("at"), col(r.stage).alias("stage"))
-    tails = rows.groupBy("__range").agg(F.max_by(state, place).alias("__tail"))
-    carried = tails.select("__range", F.lag("__tail").over(Window.orderBy("__range")).alias("__carried"))  # a row per range
-    within = F.lag(state).over(Window.partitionBy("__range").orderBy(*_place(r)))
-    before = F.coalesce(F.col(PREVIOUS), F.col("__carried"))
+    tails = cut.groupBy("__of", "__range").agg(F.max_by(state, "__place").alias("__tail"))
+    handed = F.lag("__tail").over(Window.partitionBy("__of").orderBy("__range"))  # a row per range of an id with cuts
+    carried = tails.select("__of", F.col("__range").alias("__at"), handed.alias("__carried"))
+    within = F.lag(state).over(Window.partitionBy("__key", "__range").orderBy(*_place(r)))  # ids may share a key
+    same = [F.when(before["id"] == col(r.id), F.struct(before["at"].alias("at"), before["stage"].alias("stage")))
+            for before in (F.col(PREVIOUS), F.col("__carried"))]
     return (
         rows.withColumn(PREVIOUS, within)
-        .join(F.broadcast(carried), "__range", "left")
-        .withColumn(PREVIOUS, F.when(before["id"] == col(r.id), F.struct(before["at"].alias("at"), before["stage"].alias("stage"))))
+        .join(F.broadcast(carried), (col(r.id) == F.col("__of")) & (F.col("__range") == F.col("__at")), "left")
+        .withColumn(PREVIOUS, F.coalesce(*same))
+        .drop("__key", "__of", "__at")
         .drop("__range", "__carried")
     )
 

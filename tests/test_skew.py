@@ -59,6 +59,15 @@ def test_one_id_on_one_day_is_sorted_by_many_tasks(spark):
     assert len(sizes) > 40 and max(sizes) < 400
 
 
+def test_only_ids_with_splitters_are_cut(spark):
+    rows = [(i, datetime(2024, 5, 1) + timedelta(days=j), f"s{j}", j) for i in range(600) for j in range(3)]
+    df = spark.createDataFrame(rows, "id int, at timestamp_ntz, stage string, tie int").repartition(5)
+    roles = Roles(id="id", snapshot="at", stage="stage", tie=("tie",))
+    got = {(r["id"], r["tie"]): r[PREVIOUS] and r[PREVIOUS]["stage"] for r in with_previous(df, roles, ranges=8).collect()}
+    assert got == {(i, j): f"s{j - 1}" if j else None for i in range(600) for j in range(3)}
+    assert _ranges(df, roles, 8).filter("__range > 0").count() <= 3 * 8
+
+
 def _ranges(df, roles, ranges):
     """The rows as they are dealt, read from the plan's own range column."""
     seen = {}
