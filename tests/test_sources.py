@@ -217,3 +217,21 @@ def test_quoted_csv_of_several_files_and_bad_records(spark, tmp_path, tiny_split
     assert read_quoted_csv(spark, csv(tmp_path, "a,b\n", "none.csv")).count() == 0
     with pytest.raises(ValueError, match="other half"):
         read_quoted_csv(spark, csv(tmp_path, 'a,b\n1,5" pipe\n', "odd.csv"))
+
+
+def test_exported_files_follow_the_table(spark, tmp_path, monkeypatch):
+    from registry import QUERIES, files
+
+    rows = spark.range(0, 12000, 1, 6).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS l_orderkey", "'N' AS l_returnflag",
+        "CAST(id AS DOUBLE) AS l_extendedprice", "md5(CAST(id AS STRING)) AS note")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(files, "new_path", lambda spark, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20KB")
+    try:
+        got = [tuple(r) for r in QUERIES["export_round_trip"](spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert got == [("N", 12000, 71994000.0, 0, 12000)]
+    sizes = [f.stat().st_size for f in (tmp_path / "export").glob("part-*.csv")]
+    assert len(sizes) > 8 and max(sizes) < sum(sizes) / 5  # an order or null ids with a third of the rows fill several
