@@ -25,9 +25,13 @@ CACHED = 250_000  # chunks, and words, whose ids a worker remembers at least
 
 
 class Bpe:
-    """Encoder and decoder for a tokenizer file of the word-end BPE kind (NFC, lower case)."""
+    """Encoder and decoder for a tokenizer file of the word-end BPE kind (NFC, lower case).
 
-    def __init__(self, spec: str):
+    Without ``decode`` no text is kept or returned.
+    """
+
+    def __init__(self, spec: str, decode: bool = True):
+        self.decode = decode
         data = json.loads(spec)
         model = data["model"]
         self.end = model["end_of_word_suffix"]
@@ -80,7 +84,7 @@ class Bpe:
                 self.chunks[chunk] = known(found[0])
             else:
                 both = [(array("i", [self.specials[p]]).tobytes(), p) if p in self.specials else known(p) for p in found]
-                self.chunks[chunk] = b"".join([c for c, _ in both]), " ".join([t for _, t in both])
+                self.chunks[chunk] = b"".join([c for c, _ in both]), " ".join([t for _, t in both]) if self.decode else ""
 
     def walk(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
         """Ids of ordered words, and their tokens' names. ``path[i]`` is the last token of the first ``i`` letters."""
@@ -102,7 +106,7 @@ class Bpe:
                 tokens.append(path[at])
                 at -= len(path[at])
             tokens.reverse()
-            done[word] = array("i", map(self.vocab.__getitem__, tokens)).tobytes(), " ".join(tokens)
+            done[word] = array("i", map(self.vocab.__getitem__, tokens)).tobytes(), " ".join(tokens) if self.decode else ""
             before = word
         return done
 
@@ -171,7 +175,8 @@ class Bpe:
         if new:
             self.learn(new)
         found = [list(map(self.chunks.__getitem__, s)) for s in split]
-        return [b"".join([c for c, _ in f]) for f in found], [" ".join([t for _, t in f if t]) for f in found]
+        decoded = [" ".join([t for _, t in f if t]) for f in found] if self.decode else []
+        return [b"".join([c for c, _ in f]) for f in found], decoded
 
 
 def _byte_names() -> list[str]:
@@ -204,9 +209,9 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", decode: bool
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
 
     def start():
-        state = worker_state()
-        if state.get("bpe_of") != tokenizer:
-            state["bpe_of"], state["bpe"] = tokenizer, Bpe(spec.value)
+        state = worker_state("bpe")
+        if state.get("bpe_of") != (tokenizer, decode):
+            state["bpe_of"], state["bpe"] = (tokenizer, decode), Bpe(spec.value, decode)
         coder = state["bpe"]
 
         def work(texts):

@@ -61,9 +61,16 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def worker_state() -> dict:
-    """A dictionary that lives as long as the Python worker, across its tasks."""
-    return sys.modules.setdefault("snaplens_worker_state", types.ModuleType("snaplens_worker_state")).__dict__
+def worker_state(owner: str) -> dict:
+    """A dictionary that lives as long as the Python worker, across the tasks of one operator.
+
+    What another operator left is dropped, so that a worker never holds the memories of two.
+    """
+    state = sys.modules.setdefault("snaplens_worker_state", types.ModuleType("snaplens_worker_state")).__dict__
+    if state.get("owner") != owner:
+        state.clear()
+        state["owner"] = owner
+    return state
 
 
 class Remembered(dict):
@@ -79,9 +86,9 @@ class Remembered(dict):
             self.older = dict(self)
             self.clear()
         unseen = keys.difference(self)
-        for key in unseen & self.older.keys():
-            self[key] = self.older[key]
-        return unseen - self.older.keys()
+        again = list(filter(self.older.__contains__, unseen))
+        self.update(zip(again, map(self.older.__getitem__, again)))
+        return unseen.difference(again)
 
 
 class WordHashes(dict):

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaplens.llm.common import WordHashes, bucket_count, mix, pieces, plain, saved, shingles, signed, table, words
+from snaplens.llm.common import WordHashes, bucket_count, mix, pieces, plain, saved, shingles, signed, table, words, worker_state
 from snaplens.llm.components import components
 
 BITS = 1 << 16  # bits of a band
@@ -114,6 +114,7 @@ def jaccard_components(
     out = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def sketch(batches):
+        worker_state("jaccard")  # nothing is kept, and what an earlier operator kept goes
         hashes, known, none = WordHashes(), set(), np.empty(0, np.int64)
         for piece in pieces(batches, 4 << 20):
             rows = []

@@ -36,7 +36,7 @@ class LanguageModel:
 
 
 def letter_table() -> np.ndarray:
-    state = worker_state()
+    state = worker_state("langid")
     if "letters" not in state:
         state["letters"] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     return state["letters"]

@@ -38,8 +38,8 @@ SHARD_BYTES = 24 << 20  # of text
 READERS = 20_000  # tasks that read shards back, at most; each then reads several
 FOOTER = "<6Q8s"
 MAGIC = b"TOKENS01"
-# Letters whose lower case and normal form no neighbour changes, then perhaps ASCII signs.
-WORD_AND_STOPS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
+# Of each line: letters whose lower case and normal form no neighbour changes, then perhaps ASCII signs; else nothing.
+WORD_AND_STOPS = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)|[^\n]*)$", re.M).findall
 CACHED = 300_000  # chunks, and words, whose ids a worker remembers at least
 
 
@@ -66,6 +66,8 @@ class LibraryEncoder:
         self.known = Remembered(CACHED)
         self.plain = Remembered(CACHED)
         self.special = [t.content.encode() for t in self.full.get_added_tokens_decoder().values()]
+        capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        self.folds = self.full.normalizer is not None and self.full.normalizer.normalize_str(capitals) == capitals.lower()
 
     def pack(self, ids) -> bytes:
         return np.asarray(ids, f"<u{self.width}").tobytes()
@@ -76,13 +78,10 @@ class LibraryEncoder:
         return [raw[i:j] for i, j in zip([0, *at], at)]
 
     def learn(self, chunks: list[bytes]) -> None:
-        heads, rest = [], []
-        for chunk in chunks:
-            found = WORD_AND_STOPS(chunk.decode())  # two words to the library
-            if found:
-                heads.append((chunk, found[1].lower(), found[2]))
-            else:
-                rest.append(chunk)
+        # Chunks hold no line breaks, so they are told apart in one go; words with signs are two words to the library.
+        found = WORD_AND_STOPS(b"\n".join(chunks).decode().lower())
+        heads = [(chunk, head, tail) for chunk, (head, tail) in zip(chunks, found, strict=True) if head]
+        rest = [chunk for chunk, (head, _) in zip(chunks, found) if not head]
         new = self.plain.missing({head for _, head, _ in heads} | {tail for _, _, tail in heads if tail})
         tails = [w for w in new if not w.isalpha()]
         new = [w for w in new if w.isalpha()]
@@ -111,9 +110,19 @@ class LibraryEncoder:
         for chunk, e in zip(odd, self.full.encode_batch([c.decode() for c in odd], add_special_tokens=False)):
             self.known[chunk] = self.pack(e.ids)
 
+    def fold(self, raw: bytes) -> bytes:
+        """A text with A-Z in lower case where its ids stay the same, so that fewer chunks differ.
+
+        Letters may join the marks U+0300 to U+036F in one case only, and a special token is told by its case.
+        """
+        if not self.folds or b"\xcc" in raw or b"\xcd" in raw:
+            return raw
+        low = raw.lower()
+        return raw if any(t in low for t in self.special) else low
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text; a null text has none."""
-        split = [t.encode().split() if t else [] for t in texts]
+        split = [self.fold(t.encode()).split() if t else [] for t in texts]
         new = self.known.missing(set().union(*split))
         if new:
             self.learn(list(new))
@@ -276,7 +285,7 @@ def write_tokens(
                         ("no_key", pa.int64()), ("documents", pa.int64()), ("ids", pa.int64())])
 
     def write(batches):
-        state = worker_state()
+        state = worker_state("token_files")
         if state.get("library_of") != tokenizer:
             state["library_of"], state["library"] = tokenizer, LibraryEncoder(spec.value)
         coder = state["library"]

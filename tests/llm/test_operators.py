@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from snaplens.llm import jaccard, queries, token_files
 from snaplens.llm.ann import nearest
-from snaplens.llm.bpe import bpe_encode
-from snaplens.llm.common import remainder
+from snaplens.llm.bpe import Bpe, bpe_encode, read_spec
+from snaplens.llm.common import remainder, worker_state
 from snaplens.llm.components import components
 from snaplens.llm.embedding_dedup import cosine_components
 from snaplens.llm.jaccard import band_keys, differing, jaccard_components
@@ -98,6 +98,27 @@ def test_token_files_with_odd_rows(spark, odd, none, library, tokenizer):
     assert empty.shards == [] and read_tokens(empty, odd).count() == 0
 
 
+def test_token_files_learn_words_of_either_case_once(library, tokenizer):
+    coder = token_files.LibraryEncoder(read_spec(tokenizer))
+    odd = ["W\u030a w\u030a W\u0323\u030a", "<|STARTOFTEXT|> <|startoftext|>", "\u212aelvin \u212b \u1e9e \u0130 \u03a3\u03a3 Kelvin,", "WE'LL We'll", "\u01c5 \ufb01X", None, " "]
+    assert coder.encode(odd) == [coder.pack(library.encode(t or "", add_special_tokens=False).ids) for t in odd]
+    before = len(coder.known)
+    assert len(set(coder.encode(["Quarry, stone", "quarry, Stone", "QUARRY, STONE"]))) == 1
+    assert len(coder.known) == before + 2
+
+
+def test_workers_hold_the_memories_of_one_operator():
+    worker_state("one")["words"] = 1
+    assert worker_state("one")["words"] == 1 and "words" not in worker_state("two") and "words" not in worker_state("one")
+
+
+def test_bpe_without_decoding_keeps_no_text(tokenizer):
+    texts = ["Some words, and some more.", "\u00fcber <|endoftext|> 12"]
+    both, ids = Bpe(read_spec(tokenizer)), Bpe(read_spec(tokenizer), decode=False)
+    assert ids.encode(texts) == (both.encode(texts)[0], [])
+    assert {t for _, t in [*ids.chunks.values(), *ids.words.values()]} == {""}
+
+
 def test_bpe_agrees_with_the_library(spark, sf, odd, none, library, tokenizer):
     for docs in (documents(spark, sf), odd):
         for r in bpe_encode(docs, tokenizer, decode=True).collect():
