@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,11 +38,31 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written once to the shared folder and read back; lost executors cost nothing."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    return stored(df, new_folder(df.sparkSession, name))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read back.
+
+    The shuffle files of the writing query go when it ends; else they stay until the driver
+    happens to collect its garbage, and those of one query after the other add up.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a copy that ``stored`` made and that no table to come reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def bucket_count(rows_or_bytes: int | None, each: int) -> int:
     """Enough buckets that each holds about ``each`` rows or bytes, whatever the total."""
     return max(1, -(-int(rows_or_bytes or 0) // each))

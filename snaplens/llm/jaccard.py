@@ -20,7 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaplens.llm.common import WordHashes, bucket_count, mix, pieces, plain, saved, shingles, signed, table, words, worker_state
+from snaplens.llm.common import (
+    WordHashes, bucket_count, mix, new_folder, pieces, plain, removed, saved, shingles, signed, stored, table, words, worker_state,
+)
 from snaplens.llm.components import components
 
 BITS = 1 << 16  # bits of a band
@@ -128,8 +130,9 @@ def jaccard_components(
                 known.add(set_id)
             yield table(out, piece.column(0), piece.column(1), *([r[i] for r in rows] for i in range(3)))
 
-    sets = saved(base.mapInArrow(sketch, "doc_id long, row_key long, n long, set_id long, keys array<long>"), "sets")
-    members = sets.select("doc_id", "row_key", "n", "set_id")
+    folder = new_folder(docs.sparkSession, "sets")
+    sets = stored(base.mapInArrow(sketch, "doc_id long, row_key long, n long, set_id long, keys array<long>"), folder)
+    members = saved(sets.select("doc_id", "row_key", "n", "set_id"), "members")
     # A set by its smallest id, so that the smallest set has the component's id; sets without any come last.
     node = F.struct(F.col("rep").isNull().alias("none"), F.coalesce("rep", F.lit(0)).alias("id"), F.col("set_id"))
     first = members.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep")).select("set_id", node.alias("node"))
@@ -143,6 +146,7 @@ def jaccard_components(
     shared = keys.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low < high")
     ties = keys.join(shared.select("key", "low").hint("merge"), "key").filter("set_id <> low").select(F.col("set_id").alias("u"), F.col("low").alias("v"))
     groups = saved(components(ties), "groups").withColumnRenamed("node", "set_id")
+    removed(docs.sparkSession, folder)  # the keys, several bytes a word, go before texts move
 
     links = saved(_verified(base, members, groups, words_each, percent), "links")
     joined = components(
@@ -162,16 +166,22 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.struct(plain(doc_id), plain(text)), plain(doc_id).isNull())
 
 
-def among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """``rows`` without most of those whose ``key`` (a long) is not in ``wanted``; every other row stays.
+def marked(rows: DataFrame, wanted: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with a column ``name``: true where ``key`` (a long) is in ``wanted``, and for few other rows.
 
     The keys of ``wanted`` are set in ``WORDS`` words of 64 bits, at most one row a word whatever
-    the input, so the broadcast is bounded. Beyond some ten million keys it passes ever more rows.
+    the input, so the broadcast is bounded. Beyond some ten million keys it marks ever more rows.
     """
     bit = F.pmod(F.xxhash64(F.col(key)), F.lit(64 * WORDS))
     word, mask = F.floor(bit / 64).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
     held = wanted.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
-    return rows.join(F.broadcast(held), word == F.col("word")).filter(F.col("bits").bitwiseAND(mask) != 0).select(rows.columns)
+    found = F.coalesce(F.col("bits").bitwiseAND(mask) != 0, F.lit(False))
+    return rows.join(F.broadcast(held), word == F.col("word"), "left").select(*rows.columns, found.alias(name))
+
+
+def among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` (a long) is not in ``wanted``; every other row stays."""
+    return marked(rows, wanted, key, "among").filter("among").drop("among")
 
 
 def signed_hash(found: np.ndarray) -> int:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaplens.llm.common import SPACES, plain, saved
+from snaplens.llm.common import SPACES, new_folder, plain, removed, saved, stored
 
 LEAD = 2  # leading tokens on the path
 SEGMENTS = 4  # runs of the rest, one of which may vary
@@ -40,7 +40,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     nameless = F.when(plain(doc_id).isNull(), F.xxhash64(plain(text))).otherwise(0).alias("h")
     row = docs.select(plain(doc_id).alias("d"), nameless, plain(text).alias("t"), F.struct(*map(plain, others)).alias("r"))
-    held = saved(row.filter("t is not null").select("d", "h", _line_keys().alias("lines")), "lines")
+    folder = new_folder(docs.sparkSession, "lines")
+    held = stored(row.filter("t is not null").select("d", "h", _line_keys().alias("lines")), folder)
 
     keys = held.select("d", "h", F.explode(F.array_distinct(F.flatten("lines.keys"))).alias("key"))
     enough = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, min(2, min_docs)).otherwise(min_docs)
@@ -55,6 +56,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
         lines.join(recurring, "key").filter(~is_first)
         .groupBy(F.col("d").alias("d2"), F.col("h").alias("h2")).agg(F.collect_set("line").alias("gone"))
     )
+    gone = saved(gone, "gone")
+    removed(docs.sparkSession, folder)  # the keys of all lines go before texts move
 
     parts = F.split("t", "\n")
     stay = F.when(F.col("gone").isNull(), parts).otherwise(

@@ -1,9 +1,11 @@
 """The corpus operators against plain Python on small tables, odd rows and empty tables."""
 
 import re
+import time
 import zlib
 from collections import Counter
 from math import log10
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,7 +15,7 @@ import corpus_pipeline
 from snaplens.llm import jaccard, queries, token_files
 from snaplens.llm.ann import nearest
 from snaplens.llm.bpe import Bpe, bpe_encode, read_spec
-from snaplens.llm.common import remainder, worker_state
+from snaplens.llm.common import CLEANUP, remainder, saved, shared_folder, worker_state
 from snaplens.llm.components import components
 from snaplens.llm.embedding_dedup import cosine_components
 from snaplens.llm.jaccard import band_keys, differing, jaccard_components
@@ -542,3 +544,74 @@ def test_pipeline_of_odd_and_empty_documents(spark, odd, none):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, "")
         assert docs.count() <= odd.count() * 3
+
+
+# ---- disk of the pipeline: what moves, and what goes when it is no longer read
+
+
+def copies_kept(spark):
+    """The names of the copies in the shared folder."""
+    return {f.name for f in Path(re.sub("^file:(//)?", "", shared_folder(spark))).iterdir()}
+
+
+def shuffle_bytes(spark):
+    """Bytes of all shuffle files; they may go at any time."""
+    total = 0
+    for folder in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString():
+        for f in Path(folder).rglob("shuffle_*"):
+            try:
+                total += f.stat().st_size
+            except FileNotFoundError:
+                pass
+    return total
+
+
+def wait_until(holds, seconds=20):
+    end = time.time() + seconds
+    while not holds() and time.time() < end:
+        time.sleep(0.2)
+    return holds()
+
+
+def test_shuffle_files_of_a_stored_table_go(spark):
+    start = shuffle_bytes(spark)
+    rows = spark.range(300_000).repartition(F.xxhash64("id"))
+    kept = saved(rows)
+    assert wait_until(lambda: shuffle_bytes(spark) < start + 100_000)
+    assert spark.conf.get(CLEANUP, None) is None and kept.count() == rows.count() == 300_000
+
+
+def test_texts_of_documents_without_copies_do_not_move(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"{x:x}" for x in rng.integers(0, 1 << 48, 600)), "s") for i in range(400)]
+    docs = spark.createDataFrame(rows + [(1_000, rows[5][1] + " more", "s")], "doc_id long, text string, source string")
+    start, size = shuffle_bytes(spark), sum(len(r[1]) for r in rows)
+    corpus_pipeline.near_copies(spark, docs, "").write.parquet(str(tmp_path / "out"))
+    assert wait_until(lambda: shuffle_bytes(spark) - start < size / 10)
+    assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(400))
+
+
+def test_copies_with_keys_of_all_words_or_lines_go(spark):
+    before = copies_kept(spark)
+    docs = near_copies(spark).withColumn("source", F.lit("s"))
+    for stage in (corpus_pipeline.near_copies, corpus_pipeline.lines):
+        assert 0 < stage(spark, docs, "").count() <= docs.count()
+    assert not {f for f in copies_kept(spark) - before if f.startswith(("sets-", "lines-"))}
+
+
+def test_near_copies_when_every_row_is_doubted(spark, monkeypatch):
+    docs = near_copies(spark)
+    docs = docs.unionByName(docs.filter("doc_id % 3 = 0")).select("*", *(F.lit(i).alias(c) for i, c in enumerate(("word", "bits", "r", "row_key", "order", "n"))))
+    few = Counter(map(tuple, corpus_pipeline.near_copies(spark, docs, "").collect()))
+    monkeypatch.setattr(jaccard, "WORDS", 1)
+    assert Counter(map(tuple, corpus_pipeline.near_copies(spark, docs, "").collect())) == few
+    assert max(few.values()) == 1 and len({r[0] // 100 for r in few}) == 12 and next(iter(few))[2:] == tuple(range(6))
+
+
+def test_pipeline_keeps_one_copy_between_stages(spark, tmp_path, monkeypatch):
+    before = copies_kept(spark)
+    spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    more = lambda spark, docs, folder: docs.unionByName(docs)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", more), ("second", more), ("third", more)])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 16
+    assert [f.split("-")[0] for f in copies_kept(spark) - before] == ["second"]
